@@ -184,3 +184,11 @@ def _digest(found: DataFrame, id_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]), pa.array(np.array(hit) > 0)], names=out.names)
 
     return found.select(id_col, "n_words", "spans", "items").mapInArrow(digest, out)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, words: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", limit: int = TABLE_BYTES) -> DataFrame:
+    """`docs` without those that hold a window of a benchmark item, block of items by block."""
+    columns = docs.columns
+    for windows in benchmark_blocks(benchmark, words, item_col, item_text_col, limit):
+        docs = search(docs, windows, id_col, text_col, tuple(c for c in columns if c != id_col)).filter(F.size("spans") == 0).select(*columns)
+    return docs

@@ -78,17 +78,16 @@ def digest(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """`docs` with each live-looking span of its text replaced by `mark`; all rows and columns stay.
+    """`docs` with each span of its text replaced by `mark`; all rows and columns stay.
 
-    Spans that overlap are replaced as one. Copied examples stay in the text.
+    Spans that overlap are replaced as one. Copied examples of the method's own kinds are no spans and stay.
     """
     columns = docs.columns
-    carried = docs.select(*columns, F.lit(None).alias("__none"))
-    found = scan(carried, id_col, text_col, keep=tuple(c for c in columns if c != id_col))
+    found = scan(docs, id_col, text_col, keep=tuple(c for c in columns if c != id_col))
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
-        cut = (s["end"] > acc["at"]) & ~s["copied"]
+        cut = s["end"] > acc["at"]
         more = F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(""))
         return F.struct(F.when(cut, more).otherwise(acc["out"]).alias("out"), F.when(cut, s["end"]).otherwise(acc["at"]).alias("at"))
 

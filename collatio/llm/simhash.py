@@ -48,7 +48,7 @@ def fingerprint(hashes: list[int]) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id and `fp`, its fingerprint as a signed long."""
+    """Each row's id (a column of any type) and `fp`, its fingerprint as a signed long."""
     out = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType())])
 
     def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +172,14 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def grouped(made: DataFrame, least: str, most: int = 4) -> DataFrame:
+    """Each distinct fingerprint (`fp`) of `made` and `least`, the smallest value of that column it is linked with."""
+    first = written(made.groupBy("fp").agg(F.min(least).alias("first")), "distinct")
+    hangs = components(links(first.select("fp"), most))
+    rooted = first.join(hangs, first["fp"] == hangs["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: `fingerprint` in hex and `component_id`, the smallest id it is linked with.
 
@@ -180,8 +188,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, id_col: str
     rows. Other columns are left out, whatever their names.
     """
     made = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    first = written(made.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
-    hangs = components(links(first.select("fp"), most))
-    rooted = first.join(hangs, first["fp"] == hangs["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    named = grouped(made, id_col, most).select("fp", F.col("least").alias("component_id"))
     return made.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 4, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each group of near duplicates: the one with the smallest id, null ids last.
+
+    Rows of one id with different texts are told apart by the texts; of rows alike in both, one stays.
+    """
+    columns, h = docs.columns, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), h.alias("h"))
+    made = written(fingerprints(docs.select(key.alias("__key"), F.col(text_col)), width, "__key", text_col), "fingerprints")
+    best = grouped(made, "__key", most).select("least.*").distinct()
+    same = F.col("__id").eqNullSafe(F.col("__best")) & (F.col("__h") == F.col("__best_h"))
+    kept = docs.select("*", F.col(id_col).alias("__id"), h.alias("__h")).join(best.select(F.col("id").alias("__best"), F.col("h").alias("__best_h")), same, "left_semi")
+    return kept.dropDuplicates(["__id", "__h"]).select(*columns)
