@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import contamination, licenses, packing, quality, secrets, simhash, suffix
+from . import contamination, html, licenses, packing, quality, secrets, simhash, suffix, tokencount
 from .common import table
+from .native import matches
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,23 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+#: What op4's edits replace: mail addresses, and numbers as long as those of cards.
+PERSONAL = r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z]{2,10}|(?<![0-9])[0-9]{13,19}(?![0-9])"
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts tokens, replaces personal data by a mark, and counts again only where texts changed."""
+    tokenizer, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    state = tokencount.counted(table(spark, sf_dir, "documents"), tokenizer, pattern)
+    edits = F.transform(matches(F.col("text"), PERSONAL), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("[removed]").alias("value")))
+    found = tokencount.edited(state, edits, tokenizer, pattern)
+    return found.select("doc_id", "n_before", "n_edits", F.col("n_tokens").alias("n_after"), F.length("text").cast("long").alias("n_chars"), "n_reencoded")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -45,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing,
         op2_suffix_dedup,
+        op3_html_extraction,
+        op4_token_counts,
         op6_quality_rules,
         op7_benchmark_decontamination,
         op8_secret_scans,
