@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, html, licenses, packing, quality, secrets, simhash, suffix, tokencount
+from . import classlm, contamination, html, licenses, packing, quality, secrets, simhash, suffix, tokencount
 from .common import table
 from .native import matches
 
@@ -38,6 +38,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_before", "n_edits", F.col("n_tokens").alias("n_after"), F.length("text").cast("long").alias("n_chars"), "n_reencoded")
 
 
+def op5_class_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_suffix_dedup,
         op3_html_extraction,
         op4_token_counts,
+        op5_class_lm_scores,
         op6_quality_rules,
         op7_benchmark_decontamination,
         op8_secret_scans,

@@ -146,7 +146,7 @@ def shorter(docs: DataFrame, rows: DataFrame, step: int, width: int, core: int)
     return joined.select("id", "h", "text", "ranges").mapInArrow(cut, out)
 
 
-def _free(spark: SparkSession) -> None:
+def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that are done with; they would else stay until the driver is short of memory."""
     gc.collect()
     spark._jvm.System.gc()
@@ -167,7 +167,7 @@ def refine(rows: DataFrame, width: int, core: int, last: bool) -> tuple[DataFram
     if not last:
         several = alike.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core")
         more = written(alike.join(several, "core", "left_semi").select("one.*"), "more")
-    _free(spark)
+    free_shuffles(spark)
     return repeated, more
 
 
