@@ -91,34 +91,38 @@ def select_partition(config: SamplingConfig, universe: DataFrame, references: Da
     """`ref_label` and `stratum` of the picks: curated, edition-sensitive, short, long, then at random.
 
     `curated` has `ref_label` and `stratum`. `strict` checks that pools are large enough (an action each).
+    Each step's picks, no more than its quota, are fetched before the next step leaves them out; a plan of
+    all steps at once would hold the first ones many times over.
     """
+    spark = universe.sparkSession
     key = lambda purpose: deterministic_key(config.seed, purpose, F.col("ref_label"))
     left = universe.select("ref_label")
-    famous = curated.filter(F.col("stratum").isin("extremely_famous", "well_known")).join(left, "ref_label", "left_semi")
-    if strict:
-        require_pool(famous, config.famous_references, "famous")
-    picked = _take(famous, [key("famous")], config.famous_references).select("ref_label", "stratum")
-    own = references.select(*references.columns, ref_label(*(F.col(k) for k in KEY)).alias("ref_label")).join(left, "ref_label", "left_semi").drop("ref_label")
+    picked: list[tuple[str, str]] = []
+
+    def frame() -> DataFrame:
+        return spark.createDataFrame(picked, "ref_label string, stratum string")
 
-    def step(pool: DataFrame, order: list[Column], n: int, purpose: str, stratum: str, picked: DataFrame) -> DataFrame:
-        open_ = pool.join(left, "ref_label", "left_semi").join(picked, "ref_label", "left_anti")
+    def add(chosen: DataFrame) -> None:
+        picked.extend((r[0], r[1]) for r in chosen.select("ref_label", "stratum").collect())
+
+    def step(pool: DataFrame, order: list[Column], n: int, purpose: str, stratum: str) -> None:
+        open_ = pool.join(left, "ref_label", "left_semi").join(F.broadcast(frame()), "ref_label", "left_anti")
         if strict and config.schema_version == 2:
             require_pool(open_, n, stratum)
-        return picked.unionByName(_pooled(open_, order, n, key(purpose), config.schema_version).select("ref_label", F.lit(stratum).alias("stratum")))
+        add(_pooled(open_, order, n, key(purpose), config.schema_version).withColumn("stratum", F.lit(stratum)))
 
-    picked = step(disagreement(own), [F.desc("disagreement"), key("sensitive")], config.translation_sensitive_references, "sensitive-pool", "translation_sensitive", picked)
+    famous = curated.filter(F.col("stratum").isin("extremely_famous", "well_known")).join(left, "ref_label", "left_semi")
+    if strict:
+        require_pool(famous, config.famous_references, "famous")
+    add(_take(famous, [key("famous")], config.famous_references))
+    own = references.withColumn("ref_label", ref_label(*(F.col(k) for k in KEY))).join(left, "ref_label", "left_semi").drop("ref_label")
+    step(disagreement(own), [F.desc("disagreement"), key("sensitive")], config.translation_sensitive_references, "sensitive-pool", "translation_sensitive")
     lengths = mean_length(own)
-    picked = step(lengths, [F.asc("mean_length"), key("length")], config.short_references, "length-pool", "short_verse", picked)
-    picked = step(lengths, [F.desc("mean_length"), key("length").desc()], config.long_references, "length-pool", "long_verse", picked)
-    rest = left.join(picked, "ref_label", "left_anti")
-    # How many are left is only known from the picks: rank the rest and keep what the total leaves.
-    taken = picked.agg(F.count(F.lit(1)).alias("taken"))
-    ranked = _take(rest, [key("random")], config.total_references).select("ref_label", key("random").alias("k"))
-    from pyspark.sql import Window
-
-    ranked = ranked.withColumn("n", F.row_number().over(Window.orderBy("k")))  # at most the sample's size
-    random = ranked.crossJoin(taken).filter(F.col("n") + F.col("taken") <= config.total_references)
-    return picked.unionByName(random.select("ref_label", F.lit("random").alias("stratum")))
+    step(lengths, [F.asc("mean_length"), key("length")], config.short_references, "length-pool", "short_verse")
+    step(lengths, [F.desc("mean_length"), key("length").desc()], config.long_references, "length-pool", "long_verse")
+    rest = left.join(F.broadcast(frame()), "ref_label", "left_anti")
+    add(_take(rest, [key("random")], config.total_references - len(picked)).withColumn("stratum", F.lit("random")))
+    return frame()
 
 
 def sample(config: SamplingConfig, private_seed: str, references: DataFrame, editions: list[str], curated: DataFrame, strict: bool = False) -> DataFrame:
