@@ -58,8 +58,8 @@ def looks_like_refusal(text: Column) -> Column:
 
 
 def contains_contiguous(haystack: Column, needle: Column) -> Column:
-    """Whether a shorter, non-empty list of words stands in another without gaps. Words hold no NUL, which marks their ends."""
-    mark = lambda x: F.concat(F.lit("\0"), F.array_join(x, "\0"), F.lit("\0"))
+    """Whether a shorter, non-empty list of words stands in another without gaps. Words are letters and numbers; a control character marks their ends."""
+    mark = lambda x: F.concat(F.lit("\x1f"), F.array_join(x, "\x1f"), F.lit("\x1f"))
     return (F.size(needle) > 0) & (F.size(haystack) > F.size(needle)) & mark(haystack).contains(mark(needle))
 
 

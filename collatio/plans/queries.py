@@ -470,6 +470,12 @@ def guard_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _W = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*'), lambda w: replace(w, '’', ''''))"
 
 
+def _starts(k: int):
+    """Hashes of the k words at each place of `hay`."""
+    at = F.sequence(F.lit(1), F.size("hay") - k + 1)
+    return F.when(F.size("hay") >= k, F.transform(at, lambda i: F.xxhash64(F.lit(k), F.slice("hay", i, k)))).otherwise(F.array().cast("array<bigint>"))
+
+
 @query(rf"""WITH i AS (SELECT item_id, chr(31) || array_to_string({_W.format('text')}, chr(31)) || chr(31) AS t, len({_W.format('text')}) AS n FROM benchmark), d AS (SELECT doc_id, chr(31) || array_to_string({_W.format('text')}, chr(31)) || chr(31) AS t, len({_W.format('text')}) AS n FROM documents)
 SELECT item_id, doc_id FROM i JOIN d ON contains(d.t, i.t) AND d.n > i.n AND i.n > 0""", fixture=False)
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -483,8 +489,7 @@ def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = sized.select("item_id", "needle", F.xxhash64("k", F.slice("needle", F.lit(1), F.col("k"))).alias("key"))
     found = None
     for k in lengths:
-        starts = F.when(F.size("hay") >= k, F.transform(F.sequence(F.lit(1), F.size("hay") - k + 1), lambda at, k=k: F.xxhash64(F.lit(k), F.slice("hay", at, k)))).otherwise(F.array().cast("array<bigint>"))
-        own = docs.select("doc_id", F.explode(F.array_distinct(starts)).alias("key")).join(keys, "key").select("doc_id", "item_id")
+        own = docs.select("doc_id", F.explode(F.array_distinct(_starts(k))).alias("key")).join(keys, "key").select("doc_id", "item_id")
         found = own if found is None else found.unionByName(own)
     if found is None:
         return docs.select(F.lit(None).cast("long").alias("item_id"), "doc_id").limit(0)
