@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, small_batches, utf8, written
+from .common import batches, discard, small_batches, utf8, written
 from .suffix import free_shuffles
 
 #: Tokens of a block, and words (counted once a block) of a bucket.
@@ -270,7 +270,8 @@ def scores(docs: DataFrame, classes: int = 32, rounds: int = 3, weight: float =
         sent = inner.mapInArrow(first_round, _SENT_SQL) if answers is None else inner.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(next_round, _SENT_SQL)
         sent = written(sent, "contexts")
         logs, log_size, _ = _model(_transitions(sent.filter("bucket = -1").withColumnRenamed("n", "m"), "m", k), k)
-        answers = written(sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(_assign(k, logs, log_size), "block long, bucket long, cls binary"), "classes")
+        before, answers = answers, written(sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(_assign(k, logs, log_size), "block long, bucket long, cls binary"), "classes")
+        discard(sent, *([before] if before else []))
         free_shuffles(spark)
 
     def settle(own: pa.Table, answers: pa.Table) -> pa.Table:
@@ -285,6 +286,7 @@ def scores(docs: DataFrame, classes: int = 32, rounds: int = 3, weight: float =
     both = answers.join(counts.select("block", "bucket", "counts"), ["block", "bucket"])
     kept = blocks.select("block", "ids", "held", "lens", "seq", "hashes")
     settled = written(kept.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(settle, T.StructType([*kept.schema.fields, *T._parse_datatype_string("cls binary, counts binary, m binary").fields])), "settled")
+    discard(blocks, counts, answers)
     free_shuffles(spark)
     logs, log_size, share = _model(_transitions(settled, "m", k), k)
     follow = np.vstack([np.exp(logs), share])  # behind an unseen word: by frequency

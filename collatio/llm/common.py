@@ -38,7 +38,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/collatio-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.collatio_path = path
+    return again
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `written` wrote, once no plan will read it any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.collatio_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
