@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -75,3 +75,10 @@ def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_column(df: DataFrame, name: str = "text"):
     """A text column, null as empty."""
     return F.coalesce(df[name].cast("string"), F.lit(""))
+
+
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """`df` under column names that clash with none of ours, the names by the old ones, and the way back."""
+    columns = df.columns
+    names = {c: f"__c{k}" for k, c in enumerate(columns)}
+    return df.toDF(*names.values()), names, lambda out: out.select(*names.values()).toDF(*columns)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, small_batches, utf8
+from .common import batches, shielded, small_batches, utf8
 
 #: Lower-cases A-Z and makes a space of every ASCII byte that is no letter or digit.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -188,7 +188,8 @@ def _digest(found: DataFrame, id_col: str) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, words: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", limit: int = TABLE_BYTES) -> DataFrame:
     """`docs` without those that hold a window of a benchmark item, block of items by block."""
-    columns = docs.columns
+    own, names, back = shielded(docs)
+    first, text, *others = names[id_col], names[text_col], *(n for c, n in names.items() if c not in (id_col, text_col))
     for windows in benchmark_blocks(benchmark, words, item_col, item_text_col, limit):
-        docs = search(docs, windows, id_col, text_col, tuple(c for c in columns if c != id_col)).filter(F.size("spans") == 0).select(*columns)
-    return docs
+        own = search(own, windows, first, text, (text, *others)).filter(F.size("spans") == 0)
+    return back(own)

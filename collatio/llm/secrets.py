@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shielded, written
 from .native import matches
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -77,14 +77,14 @@ def digest(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), live.alias("n_live"))
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "source", mark: str = "[secret]") -> DataFrame:
     """`docs` with each span of its text replaced by `mark`; all rows and columns stay.
 
     Spans that overlap are replaced as one. Copied examples of the method's own kinds are no spans and stay.
     """
-    columns = docs.columns
-    found = scan(docs, id_col, text_col, keep=tuple(c for c in columns if c != id_col))
-    text = F.col(text_col)
+    own, names, back = shielded(docs)
+    found = scan(own, names[id_col], names[text_col], names[owner_col], names[repository_col], keep=tuple(n for c, n in names.items() if c != id_col))
+    text = F.col(names[text_col])
 
     def step(acc: Column, s: Column) -> Column:
         cut = s["end"] > acc["at"]
@@ -93,4 +93,4 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     new = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, new).otherwise(text)).select(*columns)
+    return back(found.withColumn(names[text_col], F.when(F.size("spans") > 0, new).otherwise(text)))
