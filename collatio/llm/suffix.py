@@ -156,7 +156,8 @@ def refine(rows: DataFrame, width: int, core: int, last: bool) -> tuple[DataFram
     """Settles what can be settled. Returns the repeated byte ranges (`id`, `h`, `s`, `e`) and the rows to compare further."""
     spark = rows.sparkSession
     rows = written(rows, "ranked")
-    twice = rows.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core")
+    # Written, so that both sides of the join are plain shuffles, of which Spark can split a hot core's partition.
+    twice = written(rows.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core"), "twice")
     open_ = written(rows.join(twice, "core", "left_semi"), "open")
     alike = open_.groupBy("core", "full").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "h", "a", "o", "n")).alias("one"))
     alike = written(alike, "alike")
@@ -165,7 +166,7 @@ def refine(rows: DataFrame, width: int, core: int, last: bool) -> tuple[DataFram
     repeated = written(repeated.select("id", "h", start.alias("s"), (start + F.col("n") + width - 1).alias("e")).distinct(), "repeated")
     more = None
     if not last:
-        several = alike.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core")
+        several = written(alike.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core"), "several")
         more = written(alike.join(several, "core", "left_semi").select("one.*"), "more")
     free_shuffles(spark)
     return repeated, more
