@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, small_batches, utf8, written
+from .common import batches, discard, small_batches, utf8, written
 
 #: Bytes hashed at once; about 60 bytes of memory each.
 PART = 1 << 21
@@ -159,15 +159,19 @@ def refine(rows: DataFrame, width: int, core: int, last: bool) -> tuple[DataFram
     # Written, so that both sides of the join are plain shuffles, of which Spark can split a hot core's partition.
     twice = written(rows.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core"), "twice")
     open_ = written(rows.join(twice, "core", "left_semi"), "open")
+    discard(rows, twice)
     alike = open_.groupBy("core", "full").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "h", "a", "o", "n")).alias("one"))
     alike = written(alike, "alike")
     repeated = open_.join(alike.filter("m > 1").select("core", "full"), ["core", "full"])
     start = F.col("a") - (width - core) + F.col("o")
     repeated = written(repeated.select("id", "h", start.alias("s"), (start + F.col("n") + width - 1).alias("e")).distinct(), "repeated")
+    discard(open_)
     more = None
     if not last:
         several = written(alike.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core"), "several")
         more = written(alike.join(several, "core", "left_semi").select("one.*"), "more")
+        discard(several)
+    discard(alike)
     free_shuffles(spark)
     return repeated, more
 
