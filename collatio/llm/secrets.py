@@ -13,13 +13,24 @@ from .common import shielded, written
 from .native import matches
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: What stands between the characters of a key: white space, escaped line ends, and marks of quotes, comments, diffs and strings.
+_GAP = r"""(?:[\s"',>#*|+]|\\++[nrt]?|-(?!----[^-]))"""
+_EDGE = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_HEADERS = rf"(?:{_GAP}*+(?:Proc-Type:\x20?4,ENCRYPTED|DEK-Info:\x20?[A-Z0-9-]++,[0-9A-Fa-f]++|(?:Version|Comment|MessageID|Hash|Charset):(?:[^\n\\-]++|-(?!----))*+))*+"
+#: A private key from BEGIN to END or, where END is missing, to the end of what looks like its body: long runs of
+#: base64, and a short one behind them that is padded or ends its line. Loops are possessive, as Java's others recurse.
+PEM = (
+    rf"-----BEGIN {_EDGE}{_HEADERS}"
+    rf"(?:(?:[A-Za-z0-9/=;:&<()]++|{_GAP})*+-----END {_EDGE}"
+    rf"""|(?:(?:{_GAP}*+[A-Za-z0-9+/]{{24,}}+={{0,2}}+)++(?:{_GAP}++[A-Za-z0-9+/]{{1,23}}+(?:={{1,2}}+|(?=[\r\n\\"']|\z)))?+)?+)"""
+)
 #: Kinds of the base in their order, then the method's own, which are kept where owner-specific.
 PATTERNS = (
     ("assign", ASSIGN),
     ("access", r"AKIA[A-Z0-9]{16,}"),
     ("hex", r"[0-9a-f]{24,}"),
     ("vendor", r"gh[pousr]_[A-Za-z0-9]{36,}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
-    ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    ("pem", PEM),
     ("url", r"[a-z]{2,10}://[^/\s:@]{1,64}:[^/\s:@]{3,64}@"),
 )
 BASE = 3
@@ -33,6 +44,9 @@ def _found(text: Column, kind: int, pattern: str) -> Column:
     if kind == 0:  # matched as it stands, then dropped if what is assigned is short
         found = F.filter(found, lambda x: F.length(F.regexp_extract(x["value"], ASSIGN, 1)) >= MIN_ASSIGNED)
         value = lambda x: F.regexp_extract(x["value"], ASSIGN, 1)
+    elif pattern == PEM:  # the body tells keys apart; a line without one counts as itself
+        body = lambda x: F.regexp_replace(x["value"], rf"-----(?:BEGIN|END) {_EDGE}|\\+[nrt]?|[^A-Za-z0-9+/=]", "")
+        value = lambda x: F.when(body(x) == "", x["value"]).otherwise(body(x))
     else:
         value = lambda x: x["value"]
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), F.sha2(value(x), 256).alias("value")))
