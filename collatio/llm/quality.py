@@ -44,6 +44,7 @@ class Rules:
     max_shouts: float = 0.3
     unpunctuated_words: int = 15
     max_lost: float = 0.5
+    max_boilerplate: float | None = None  # of a line's words, in whole phrases; None: a phrase's letters anywhere, as in ORACLE
 
 
 def word_list(text: Column) -> Column:
@@ -69,6 +70,16 @@ def repeated_words(words: Column, window: int) -> Column:
     return F.when(F.size(words) > window, let(windows, covered)).otherwise(0).cast("long")
 
 
+def boilerplate(line: Column, n: Column, rules: Rules) -> Column:
+    """Whether phrases make up too much of a line of `n` words."""
+    low, phrases = F.lower(line), "|".join(BOILERPLATE)
+    if rules.max_boilerplate is None:
+        return low.rlike(phrases)
+    whole = rf"(?<![\p{{L}}\p{{N}}])(?:{phrases})(?![\p{{L}}\p{{N}}])"
+    found = F.size(F.split(F.array_join(F.regexp_extract_all(low, F.lit(whole), 0), " "), " "))
+    return F.when(low.rlike(whole), found > rules.max_boilerplate * n).otherwise(False)
+
+
 def line_fails(line: Column, rules: Rules) -> Column:
     """Navigation (bars between words), punctuation (symbols, shouts, long lines with none) and boilerplate."""
 
@@ -77,7 +88,7 @@ def line_fails(line: Column, rules: Rules) -> Column:
         bars = F.size(F.filter(words, lambda w: w == "|"))
         symbols = chars - F.length(F.regexp_replace(line, f"{SYMBOLS}|{SPACES}", ""))
         shouts = F.size(F.filter(words, lambda w: w.endswith("!!")))
-        return (bars > rules.max_bars * n) | (symbols > rules.max_symbols * chars) | (shouts > rules.max_shouts * n) | ((n >= rules.unpunctuated_words) & ~line.rlike("[.,;:!?]")) | F.lower(line).rlike("|".join(BOILERPLATE))
+        return (bars > rules.max_bars * n) | (symbols > rules.max_symbols * chars) | (shouts > rules.max_shouts * n) | ((n >= rules.unpunctuated_words) & ~line.rlike("[.,;:!?]")) | boilerplate(line, n, rules)
 
     return let(word_list(line), of)
 

@@ -15,6 +15,10 @@ from collatio.llm import contamination, packing, quality, secrets, simhash
 from collatio.llm.common import table, written
 
 
+#: Lines go as boilerplate where phrases make up more than this share of their words.
+RULES = quality.Rules(max_boilerplate=0.3)
+
+
 def _counted(docs: DataFrame, changed: DataFrame) -> DataFrame:
     """`changed` with `n_chars`, where `docs` has it, as the texts now have them."""
     if "n_chars" not in docs.columns:
@@ -24,7 +28,7 @@ def _counted(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; of the others, lines that failed go."""
-    judged = quality.assess(docs, prefix="__q_").filter("__q_kept")
+    judged = quality.assess(docs, RULES, prefix="__q_").filter("__q_kept")
     text = F.when(F.col("__q_lost") > 0, F.col("__q_clean_text")).otherwise(F.col("text"))
     return _counted(docs, judged.withColumn("text", text).select(*docs.columns))
 

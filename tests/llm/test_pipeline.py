@@ -39,3 +39,13 @@ def test_stages(spark, tmp_path, tokenizer_path):
     packed = seen[-1].collect()
     tokenizer = Tokenizer.from_file(tokenizer_path)
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == sorted((i, *p) for i, t in rows[4].items() for p in brute.pieces(t, tokenizer))
+
+
+def test_prose_that_mentions_boilerplate_stays(spark):
+    """Phrases inside of words, or in few of a line's words, do not fail a line; lines made of them go."""
+    prose = "The mayor said on Tuesday that the privacy policy of the town library is to be read by all who borrow books there, and then went home."
+    inside = "We oneshare onealy met and bread more often than that was baked in the old mill by the river, as people said, for many years."
+    data = [(1, prose), (2, inside), (3, f"{prose}\nAll rights reserved.\nClick here to sign up!\n{inside}")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    found = {r.doc_id: r.text for r in pipeline.quality_rules(spark, docs, SF).collect()}
+    assert found == {1: prose, 2: inside, 3: f"{prose}\n{inside}"}
