@@ -237,6 +237,27 @@ def test_license_containment(spark):
     assert {(x.row, x.template) for x in found} == expected
 
 
+def test_license_words_stand_together_and_name_it(spark):
+    """Other licences, and words strewn over a text, get no label of a template; notices in a text do."""
+    long = dict(enumerate(t for _, t in licenses.TEMPLATES))
+    texts = {
+        "Released under the Apache License": "apache",
+        "licensed under CC BY 4.0": "",
+        "Wir gehen mit dir. Released under the Apache License, mit dem Hund.": "apache",
+        "released it was. " + "so " * 40 + "under the bridge " + "so " * 40 + "mit license": "mit",
+        "it was released. " + "so " * 40 + "under the bridge mit " + "so " * 40 + "license": "",
+        "Released under the terms of the MIT (Expat) License": "mit",
+        "so " * 50 + "Licensed under CC BY-NC 4.0. " + "so " * 50: "cc-by-nc",
+        "so " * 50 + long[6].replace(" ", "\n", 9) + " so" * 50: "bsd",
+        " so so ".join(long[6].split()): "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.labels for r in licenses.scan(docs).collect()}
+    assert found == dict(enumerate(texts.values()))
+    templates = spark.createDataFrame([(k, f"so so {t} so so") for k, t in long.items()], "doc_id long, text string")
+    assert all(licenses.TEMPLATES[r.doc_id][0] in r.labels.split(",") and r.score == 1 for r in licenses.scan(templates).collect())
+
+
 def test_simhash(docs, rows, none):
     prints = [brute.simhash(t) for _, t, _ in rows]
     ids = [i for i, _, _ in rows]
