@@ -32,6 +32,17 @@ def test_labelled_pages():
         assert html.main_text(page.replace("[[", "").replace("]]", "")) == html.main_text(inside)
 
 
+def test_head_and_wrapping_forms_do_not_hide_the_page():
+    body = "<p>The river rose above its banks after three days of rain.</p>"
+    text = "The river rose above its banks after three days of rain."
+    assert html.main_text(f"<html><head><title>t</title><meta charset=utf-8><body>{body}</body></html>") == text
+    assert html.main_text(f"<head><link href=x><script>a()</script><div>{body}</div>") == text
+    assert html.main_text("<head><title>t</title>Plain words of a page") == "Plain words of a page"
+    assert html.main_text(f"<body><form action=x><nav><a href=/>Home</a></nav><div>{body}</div></form></body>") == text
+    assert html.main_text(f"<body><form><div class=menu><article>{body}</article></div></form><p>Other words of this page, which are more than those that the article has, by far.</p></body>").startswith(text)
+    assert html.main_text(f"<body><div>{body}</div><form><p>Your name, your mail</p></form></body>") == text
+
+
 def test_best_region():
     for seed in range(300):
         r = random.Random(seed)
