@@ -9,10 +9,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch to Python: texts may be long, and a worker holds a batch whole.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch to Python: texts may be long, and a worker holds a batch whole.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_own: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,23 +21,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; one of our own where none is named."""
+    """The folder all executors share, as the session names it. Where none is named, a local master gets a
+    folder of this process; on a cluster that is an error, as executors would not find each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='collatio-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _own:
+        _own.append(f"file://{tempfile.mkdtemp(prefix='collatio-')}")
+    return _own[0]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again.
+    """`df` written as Parquet in the shared folder and read again; the shuffles that made it are deleted.
 
     This cuts the lineage, survives lost executors, and fixes whatever was decided by the order of
     rows in a task. The files go when the program ends, as the caller's plan still reads them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/collatio-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
     again = spark.read.schema(df.schema).parquet(path)
     again.collatio_path = path
@@ -58,9 +69,15 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the rows of an Arrow batch, so that one of long texts fits a worker's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Lowers the session's rows and bytes of an Arrow batch, so that one of long texts fits a worker's memory.
+
+    The settings are read when the caller runs the plan, so they stay lowered.
+    """
+    for key, most, usual in (("maxRecordsPerBatch", BATCH_ROWS, "10000"), ("maxBytesPerBatch", BATCH_BYTES, "64m")):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", usual).lower().rstrip("b")
+        now = int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]] if now[-1:] in "kmg" else int(now)
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -72,11 +89,6 @@ def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (x for x in rows if x.num_rows)
 
 
-def text_column(df: DataFrame, name: str = "text"):
-    """A text column, null as empty."""
-    return F.coalesce(df[name].cast("string"), F.lit(""))
-
-
 def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
     """`df` under column names that clash with none of ours, the names by the old ones, and the way back."""
     columns = df.columns

@@ -6,9 +6,12 @@ ranks within a length, which sequences take them; documents then find their plac
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +22,104 @@ from pyspark.sql import types as T
 
 from .common import batches, small_batches, utf8, written
 
-#: Words whose ids a worker remembers, about 150 bytes each; beyond it starts anew.
-MEMORY_WORDS = 700_000
+#: Parts whose ids a worker remembers, and their bytes, which take five times as much at most; beyond either it starts anew.
+MEMORY_PARTS, MEMORY_BYTES = 600_000, 16_000_000
+#: Parts of more characters are left to the library.
+LONG_PART = 24
+
+
+def byte_letters() -> list[str]:
+    """The character by which byte-level tokenizers write each byte: its own where it is visible, else the next from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in visible else next(hidden)) for b in range(256)]
+
+
+class Merges:
+    """A tokenizer's byte pair merges, applied to many parts at once.
+
+    In each round every part makes its one merge of lowest rank, the first of those; parts without one
+    are done. Parts of one length are the rows of a matrix.
+    """
+
+    def __init__(self, model: dict):
+        vocabulary = model["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        pairs = np.array([(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in merges], np.int64)
+        self.width = max(vocabulary.values()) + 1
+        keys = pairs[:, 0] * self.width + pairs[:, 1]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks, self.made = keys[order], order, pairs[:, 2]
+        self.letters = np.array([vocabulary[c] for c in byte_letters()], np.int64)
+        self.ends = np.array([vocabulary[c + model["end_of_word_suffix"]] for c in byte_letters()], np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * self.width + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], len(self.made))
+
+    def encode(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of each part (not empty) as little-endian unsigned 32-bit integers."""
+        found: list[bytes] = [b""] * len(parts)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        for n in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == n)
+            for at in range(0, len(rows), 8192):
+                own = rows[at : at + 8192]
+                data = np.frombuffer(b"".join([parts[k] for k in own.tolist()]), np.uint8).reshape(-1, n)
+                for k, ids in zip(own.tolist(), self._merged(data), strict=True):
+                    found[k] = ids
+        return found
+
+    def _merged(self, data: np.ndarray) -> list[bytes]:
+        n, none = data.shape[1], len(self.made)
+        ids = np.hstack([self.letters[data[:, :-1]], self.ends[data[:, -1:]]])
+        ranks = np.full(ids.shape, none)
+        ranks[:, :-1] = self.rank(ids[:, :-1], ids[:, 1:])
+        sizes, open_ = np.full(len(ids), n), np.arange(len(ids))
+        work_ids, work_ranks, place = ids, ranks, np.arange(n)
+        while len(open_):
+            at = work_ranks.argmin(axis=1)
+            best = work_ranks[np.arange(len(at)), at]
+            more = best < none
+            if not more.all():
+                done = ~more
+                ids[open_[done], : work_ids.shape[1]] = work_ids[done]
+                open_, work_ids, work_ranks, at, best = open_[more], work_ids[more], work_ranks[more], at[more], best[more]
+                if not len(open_):
+                    break
+            row = np.arange(len(open_))
+            work_ids[row, at] = self.made[best]
+            from_ = np.minimum(place[None, : work_ids.shape[1]] + (place[None, : work_ids.shape[1]] > at[:, None]), work_ids.shape[1] - 1)
+            work_ids, work_ranks = np.take_along_axis(work_ids, from_, 1), np.take_along_axis(work_ranks, from_, 1)
+            sizes[open_] -= 1
+            work_ranks[row, at] = none
+            behind = at + 1 < sizes[open_]
+            r, c = row[behind], at[behind]
+            work_ranks[r, c] = self.rank(work_ids[r, c], work_ids[r, c + 1])
+            r, c = row[at > 0], at[at > 0]
+            work_ranks[r, c - 1] = self.rank(work_ids[r, c - 1], work_ids[r, c])
+            keep = max(1, int(sizes[open_].max()))
+            work_ids, work_ranks = work_ids[:, :keep], work_ranks[:, :keep]
+        flat = ids.astype("<u4")
+        return [x[:k].tobytes() for x, k in zip(flat, sizes.tolist(), strict=True)]
 
 
 class WordIds:
-    """Token ids of texts, by way of remembered ids of their words.
+    """Token ids of texts, by way of remembered ids of their lower-cased parts.
 
-    Holds for tokenizers that never join text across ASCII white space and drop it.
+    Holds for tokenizers that never join text across ASCII white space and drop it. Where the tokenizer
+    is a byte pair model with word ends behind the split `SPLIT`, words of ASCII and of the accented
+    letters next to it are cut and merged here; the library encodes all others, word by word.
     """
 
+    #: The tokenizer's split, as its file has it, and what it comes to in words encoded here.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^\t-\r a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+    #: What words encoded here are free of, besides special tokens: all but ASCII and the letters from U+00C0 to
+    #: U+017F; of these, the one that becomes two when lower-cased.
+    OTHER = "[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]|\u0130"
+
     held: dict[str, "WordIds"] = {}
 
     def __init__(self, path: str):
@@ -37,7 +128,14 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.size = Tokenizer.from_file(path), {}, 0
+        told = json.loads(self.tokenizer.to_str())
+        model, cut, steps = told["model"], told["pre_tokenizer"] or {}, (told["normalizer"] or {}).get("normalizers", [])
+        first, *others = cut.get("pretokenizers", [{}])
+        plain = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": self.SPLIT} and [x["type"] for x in others] == ["ByteLevel"]
+        plain = plain and model["type"] == "BPE" and model["end_of_word_suffix"] and not (model["dropout"] or model["continuing_subword_prefix"] or model["ignore_merges"])
+        self.merges = Merges(model) if plain else None
+        self.aside = re.compile("|".join([self.OTHER, *sorted({re.escape(x["content"][:2]) for x in told["added_tokens"]})]) if plain else "[^\t-\r ]")
 
     @classmethod
     def of(cls, path: str) -> "WordIds":
@@ -48,16 +146,33 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [t.split() for t in texts]
-        if len(self.known) > MEMORY_WORDS:
-            self.known = {}
-        if new := list(set().union(*words).difference(self.known)):
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                self.known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(part, found, strict=True))
+        cut = [self._cut(t.decode("utf-8", "replace")) for t in texts]
+        if len(self.known) > MEMORY_PARTS or self.size > MEMORY_BYTES:
+            self.known, self.size = {}, 0
+        if new := set().union(*cut).difference(self.known):
+            self._learn(list(new))
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        return [b"".join(map(get, parts)) for parts in cut]
+
+    def _cut(self, text: str) -> list[str]:
+        """Parts of a text; words for the library come whole, behind a space that tells them apart."""
+        if not self.aside.search(text):
+            return self.PARTS.findall(text.lower())
+        parts, aside = [], self.aside.search
+        for other, words in groupby(re.findall("[^\t-\r ]+", text), lambda w: aside(w) is not None):
+            parts += [" " + w for w in words] if other else self.PARTS.findall(" ".join(words).lower())
+        return parts
+
+    def _learn(self, parts: list[str]) -> None:
+        self.size += sum(map(len, parts))
+        own = [p for p in parts if p[0] != " " and len(p) <= LONG_PART]
+        if own:
+            self.known.update(zip(own, self.merges.encode([p.encode() for p in own]), strict=True))
+        others = [p for p in parts if p[0] == " " or len(p) > LONG_PART]
+        for at in range(0, len(others), 5_000):
+            some = others[at : at + 5_000]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.known.update((p, np.array(x.ids, "<u4").tobytes()) for p, x in zip(some, found, strict=True))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +266,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     slots = plan(histogram, capacity)
     starts = slots[:, 0] << 44 | slots[:, 1]
-    ranked = cut.join(counts.select("length", "task", "before"), ["length", "task"]).select(F.col(id_col), "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    # A merge join, as there is a row for each length and task: it grows with the input, if slowly.
+    ranked = cut.join(counts.select("length", "task", "before").hint("merge"), ["length", "task"]).select(F.col(id_col), "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     out = T.StructType([*ranked.schema.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
