@@ -19,7 +19,6 @@ is the pair of core and whole, 128 bits together.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -146,15 +145,8 @@ def shorter(docs: DataFrame, rows: DataFrame, step: int, width: int, core: int)
     return joined.select("id", "h", "text", "ranges").mapInArrow(cut, out)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are done with; they would else stay until the driver is short of memory."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def refine(rows: DataFrame, width: int, core: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Settles what can be settled. Returns the repeated byte ranges (`id`, `h`, `s`, `e`) and the rows to compare further."""
-    spark = rows.sparkSession
     rows = written(rows, "ranked")
     # Written, so that both sides of the join are plain shuffles, of which Spark can split a hot core's partition.
     twice = written(rows.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core"), "twice")
@@ -172,7 +164,6 @@ def refine(rows: DataFrame, width: int, core: int, last: bool) -> tuple[DataFram
         more = written(alike.join(several, "core", "left_semi").select("one.*"), "more")
         discard(several)
     discard(alike)
-    free_shuffles(spark)
     return repeated, more
 
 

@@ -117,3 +117,51 @@ def components(ids: list, prints: list[int], most: int = 4) -> list:
             r = find(k)
             least[r] = min(x, least.get(r, x))
     return [least.get(find(k)) for k in range(len(ids))]
+
+
+def class_scores(texts: list[str | None], held: list[bool], hashes, classes: int, rounds: int, weight: float) -> list[float]:
+    """Scores of the class model, word by word over plain lists: exchange from the most frequent words' classes, the likeliest assignment kept."""
+    import math
+
+    docs = [re.findall(SP, lower(t or "")) + ["\n"] for t in texts]
+    train = [d for d, h in zip(docs, held, strict=True) if not h]
+    counts = Counter(w for d in train for w in d)
+    n, v = sum(counts.values()), len(counts)
+    order = sorted(counts, key=lambda w: (-counts[w], hashes(w)))[: classes - 1]
+    cls = {w: order.index(w) if w in order else classes - 1 for w in counts}
+    pairs = Counter((a, b) for d in train for a, b in zip(["\n", *d], d, strict=False))
+
+    def table(cls):
+        found = [[0] * classes for _ in range(classes)]
+        for (a, b), m in pairs.items():
+            found[cls[a]][cls[b]] += m
+        size = [sum(row[c] for row in found) for c in range(classes)]
+        share = [(s + 0.1) / (sum(size) + 0.1 * classes) for s in size]
+        logs = [[math.log((found[a][b] + share[b]) / (sum(found[a]) + 1)) for b in range(classes)] for a in range(classes)]
+        ln = lambda x: x * math.log(x) if x else 0.0
+        fit = sum(ln(x) for row in found for x in row) - sum(map(ln, size)) - sum(ln(sum(row)) for row in found)
+        return size, share, logs, fit
+
+    tried = []
+    for _ in range(rounds):
+        size, _, logs, _ = table(cls)
+        scores = {w: [-counts[w] * math.log(max(size[c], 1)) for c in range(classes)] for w in counts}
+        for (a, b), m in pairs.items():
+            for c in range(classes):
+                scores[a][c] += m * logs[c][cls[b]]
+                scores[b][c] += m * logs[cls[a]][c]
+        cls = {w: max(range(classes), key=lambda c: (round(scores[w][c], 9), -c)) for w in counts}
+        tried.append((table(cls)[3], -len(tried), cls))
+    cls = max(tried, key=lambda x: (x[0], x[1]))[2]
+    size, share, logs, _ = table(cls)
+    unseen, found = 0.1 / (n + 0.1 * (v + 1)), []
+    for d in docs:
+        total = 0.0
+        for a, b in zip(["\n", *d], d, strict=False):
+            if not counts[b]:
+                total += math.log10(unseen)
+                continue
+            follow = math.exp(logs[cls[a]][cls[b]]) if a in cls else share[cls[b]]
+            total += math.log10(weight * (1 - unseen) * follow * counts[b] / size[cls[b]] + (1 - weight) * (counts[b] + 0.1) / (n + 0.1 * (v + 1)))
+        found.append(total)
+    return found

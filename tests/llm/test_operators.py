@@ -312,6 +312,42 @@ def test_class_scores(docs, rows, none):
     assert classlm.scores(none).collect() == []
 
 
+def test_word_ids_are_the_librarys(tokenizer_path):
+    """Own merges and the library's, over odd characters, contractions, special tokens, and long parts."""
+    import numpy as np
+
+    r = random.Random(6)
+    letters = [*"abcXYZ'tsremvld019 .,!?<|>\n\t\x00\x1f\x7féßÜΣσςİıſŉÿ×÷ªµ\u0301\u0300\u00a0\u2028ﬁ中𝔘½²", "<|endoftext|>", "<|startoftext|>", "'re", "'LL", "don't", "THE", "ation", "zzzz" * 10, "é" * 30]
+    own = packing.WordIds(tokenizer_path)
+    texts = ["", " ", *("".join(r.choice(letters) for _ in range(r.randint(1, 40))) for _ in range(3000)), "a" * 50_000, "?!" * 3000]
+    for text, ids in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
+        assert ids == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:200]
+
+
+def test_class_scores_against_plain_lists(spark):
+    """The whole score, from several blocks and buckets, as a plain computation of the same clustering gives it."""
+    from xxhash import xxh3_64_intdigest
+
+    r = random.Random(4)
+    kinds = [[f"{c}{k}" for k in range(9)] for c in "abcd"]
+    texts = [None, "", "new words only", *(" ".join(r.choice(kinds[(j + j // 7) % 4]) for j in range(r.randint(0, 50))) for _ in range(60))]
+    ids = list(range(len(texts)))
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in ids]
+    signed = lambda w: (h := xxh3_64_intdigest(w.encode())) - (h >> 63 << 64)
+    expected = brute.class_scores(texts, held, signed, 6, 3, 0.9)
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    found = {x.doc_id: x.score for x in classlm.scores(docs, classes=6, block=150).collect()}
+    assert len(found) == len(ids)
+    assert all(abs(found[i] - e) < 1e-6 for i, e in zip(ids, expected, strict=True))
+
+
+def test_large_counts_are_kept():
+    import numpy as np
+
+    for values in ([], [0], [255, 256], [65_535, 65_536], [2**32 - 1, 2**32, 5_000_000_000], [2**62]):
+        assert classlm._unpack(classlm._pack(np.array(values, np.int64))).tolist() == values
+
+
 def test_class_model_beats_its_base(spark):
     """Words that follow one another by class: held-out texts score higher than by single words."""
     r = random.Random(1)
