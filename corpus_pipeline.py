@@ -1,6 +1,7 @@
 """A training corpus from `documents`: rules, near-dedup, decontamination, secrets, packing.
 
-Each stage takes what its predecessor wrote. All but the last return the columns of `documents`.
+Each stage takes what its predecessor wrote. All but the last return the columns of `documents`, further
+columns included, whatever their names. An empty table stays empty, texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -15,10 +16,6 @@ from collatio.llm import contamination, packing, quality, secrets, simhash
 from collatio.llm.common import table, written
 
 
-#: Lines go as boilerplate where phrases make up more than this share of their words.
-RULES = quality.Rules(max_boilerplate=0.3)
-
-
 def _counted(docs: DataFrame, changed: DataFrame) -> DataFrame:
     """`changed` with `n_chars`, where `docs` has it, as the texts now have them."""
     if "n_chars" not in docs.columns:
@@ -27,29 +24,33 @@ def _counted(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; of the others, lines that failed go."""
-    judged = quality.assess(docs, RULES, prefix="__q_").filter("__q_kept")
-    text = F.when(F.col("__q_lost") > 0, F.col("__q_clean_text")).otherwise(F.col("text"))
-    return _counted(docs, judged.withColumn("text", text).select(*docs.columns))
+    """Rejected documents go; of the others, lines that failed go, and all else stays as it is.
+
+    Null and empty texts have no words and are rejected. Repeated rows are judged alike.
+    """
+    return _counted(docs, quality.cleaned(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group stays: the one with the smallest id, null ids last; of rows alike in id and text, one.
+
+    Texts without words are alike.
+    """
     return simhash.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages go."""
+    """Documents with benchmark passages go. Null texts and texts without words have none; an empty benchmark takes none away."""
     return contamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts are replaced by a mark."""
+    """All documents stay, repeated ones too; secrets in their texts are replaced by a mark. Null texts stay null; null sources are one owner."""
     return _counted(docs, secrets.redacted(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences."""
+    """The pieces of the documents and their places in sequences. A null or empty text is one piece with the end id alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
