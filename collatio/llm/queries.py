@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import classlm, contamination, html, licenses, packing, quality, secrets, simhash, suffix, tokencount
 from .common import table
 from .native import matches
+from .oracles import ORACLES
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +81,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_simhash_near_dedup,
     )
 }
-
-#: DuckDB SQL for those that SQL can express over whole tables.
-ORACLES: dict[str, str] = {"op6_quality_rules": quality.ORACLE}
