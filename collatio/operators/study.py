@@ -32,9 +32,9 @@ def model_pairs(models: DataFrame) -> DataFrame:
     return pairs.select(F.col("l_model_key").alias("left"), F.col("r_model_key").alias("right"), reason.alias("reason"))
 
 
-def paired_intervals(scores: DataFrame, pairs: DataFrame, resamples: int) -> DataFrame:
-    """Bootstrap interval of the difference in exact text for each comparable pair (`left`, `right`)."""
-    means = cluster_means(scores.withColumn("model_key", model_key()), "exact_text", "model_key")
+def paired_intervals(scores: DataFrame, pairs: DataFrame, resamples: int, keyed: bool = False) -> DataFrame:
+    """Bootstrap interval of the difference in exact text for each comparable pair (`left`, `right`); with `keyed`, models are by the column `model_key`."""
+    means = cluster_means(scores if keyed else scores.withColumn("model_key", model_key()), "exact_text", "model_key")
     left = means.select(F.col("model_key").alias("left"), "stratum", "ref_label", F.col("value").alias("l"))
     right = means.select(F.col("model_key").alias("right"), "stratum", "ref_label", F.col("value").alias("r"))
     usable = pairs.filter("reason is null").select("left", "right")
@@ -48,12 +48,12 @@ def example_kind() -> Column:
     return F.when(F.col("exact_words"), "formatting_only").when(overlap, "partial_with_alternative_overlap").otherwise(F.element_at(names, F.col("classification")))
 
 
-def failure_examples(scores: DataFrame, references: DataFrame, most: int = 7) -> DataFrame:
-    """For each model the first failure of each kind, `most` of them, by case and run, with an annotated difference."""
-    rows = scores.filter("not exact_text").withColumns({"model_key": model_key(), "diagnostic": example_kind(), "resembles": resemblance()})
+def failure_examples(scores: DataFrame, references: DataFrame, most: int = 7, keyed: bool = False) -> DataFrame:
+    """For each model (by the column `model_key` with `keyed`) the first failure of each kind, `most` of them, by case and run, with an annotated difference."""
+    rows = scores.filter("not exact_text").withColumns({"model_key": F.col("model_key") if keyed else model_key(), "diagnostic": example_kind(), "resembles": resemblance()})
     first = Window.partitionBy("model_key", "diagnostic").orderBy("case_id", "run_id")
     some = Window.partitionBy("model_key").orderBy("case_id", "run_id")
     rows = rows.withColumn("n", F.row_number().over(first)).filter("n = 1").withColumn("n", F.row_number().over(some)).filter(F.col("n") <= most)
     texts = references.select(F.col("translation").alias("requested_translation"), "book", "chapter", "verse_start", F.col("verse_end").alias("__end"), F.col("text").alias("expected"))
     joined = rows.join(texts, ["requested_translation", "book", "chapter", "verse_start"]).filter(F.col("verse_end").eqNullSafe(F.col("__end")))
-    return joined.select("model_key", "run_id", "case_id", "ref_label", "requested_translation", "classification", "diagnostic", "resembles", word_diff("expected", "output").alias("word_diff"), F.array_join("exact_other_translations", ",").alias("exact_other_translations"), F.array_join("closest_translations", ",").alias("closest_translations"), "alternative_edition_token_overlap")
+    return joined.select("model_key", "run_id", "case_id", "ref_label", "requested_translation", "classification", "diagnostic", "resembles", "expected", "output", word_diff("expected", "output").alias("word_diff"), F.array_join("exact_other_translations", ",").alias("exact_other_translations"), F.array_join("closest_translations", ",").alias("closest_translations"), "alternative_edition_token_overlap")

@@ -87,6 +87,17 @@ def injected(responses: DataFrame) -> DataFrame:
     return responses.withColumns({"output": out, "truncated": ok & (n % 13 == 4), "typed_refusal": ok & (n % 17 == 6)})
 
 
+def set_up(responses: DataFrame) -> DataFrame:
+    """Responses with the settings of their runs."""
+    return responses.withColumns({"temperature": F.lit(0.0).cast("float"), "reasoning_effort": F.lit("none"), "seed": F.lit(None).cast("decimal(20,0)"), "system_fingerprint": F.concat(F.lit("fp-"), F.col("model"))})
+
+
+def configs(responses: DataFrame) -> DataFrame:
+    """The settings of each run."""
+    rows = responses.select("provider", "model", "run_id").distinct()
+    return rows.withColumns({"temperature": F.lit(0.0).cast("float"), "reasoning_effort": F.lit("none"), "max_output_tokens": F.lit(1024), "endpoint": F.lit("https://example.org/v1")})
+
+
 def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     refs = references(spark, sf_dir)
     own = cases(refs)

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import providers
 from ..functions.align import word_diff
-from ..functions.digests import ordered_digest
+from ..functions.digests import json_text, ordered_digest
 from ..functions.text import contains_contiguous, ref_label, words
-from ..operators import guard, ledger, pilot, prompts, report, sampling, selection, sessions, statistics, study, validation
+from ..operators import guard, ledger, pilot, prompts, report, runs, sampling, selection, sessions, statistics, study, validation
 from ..operators.scoring import KEY, score
 from ..sources import usfm
-from .fixture import SQL, dataset
+from .fixture import SQL, configs, dataset, set_up
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -217,8 +217,91 @@ def rendered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_PROMPTS + "SELECT sha256('[' || string_agg(to_json(prompt)::VARCHAR, ',' ORDER BY ord) || ']') AS digest FROM pr WHERE prompt_variant = 'canonical'")
 def prompt_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _prompts(spark, sf_dir).filter("prompt_variant = 'canonical'")
-    quoted = F.to_json(F.struct(F.col("prompt").alias("p")))
-    return ordered_digest(rows, F.substring(quoted, 6, 1_000_000).substr(F.lit(1), F.length(quoted) - 6), F.col("ord"))
+    return ordered_digest(rows, json_text(F.col("prompt")), F.col("ord"))
+
+
+#: The dataset's digests, and those of each run's responses, over JSON in the order of files.
+_MANIFEST = _PROMPTS + """, dg AS (SELECT (SELECT sha256('[' || string_agg(to_json({'case_id': case_id, 'translation': translation, 'reference': {'book': book, 'chapter': chapter, 'verse_start': verse_start, 'verse_end': verse_end}, 'stratum': stratum, 'prompt_variant': prompt_variant})::VARCHAR, ',' ORDER BY ord) || ']') FROM cases) AS cases_sha256,
+ (SELECT sha256('[' || string_agg(to_json({'translation': translation, 'reference': {'book': book, 'chapter': chapter, 'verse_start': verse_start, 'verse_end': verse_end}, 'text': text})::VARCHAR, ',' ORDER BY translation, book, chapter, verse_start) || ']') FROM cases) AS references_sha256,
+ (SELECT sha256('[' || string_agg(to_json({'id': id, 'name': 'Edition ' || upper(id[-1]), 'abbreviation': id, 'edition': edition, 'license_kind': 'public_domain', 'license_url': 'https://example.org/l', 'source_url': 'https://example.org/s', 'redistribute_reference_text': true})::VARCHAR, ',' ORDER BY id) || ']') FROM editions) AS catalog_sha256,
+ (SELECT sha256('[' || string_agg(to_json(prompt)::VARCHAR, ',' ORDER BY ord) || ']') FROM pr WHERE prompt_variant = 'canonical') AS prompts_sha256),
+rd AS (SELECT provider, model, run_id, sha256('[' || string_agg(to_json({'case_id': case_id, 'run_id': run_id, 'provider': provider, 'model': model, 'resolved_model': resolved_model, 'output': output, 'error': error, 'temperature': 0.0::FLOAT, 'reasoning_effort': 'none', 'seed': NULL, 'system_fingerprint': 'fp-' || model})::VARCHAR, ',' ORDER BY ord) || ']') AS responses_sha256 FROM responses GROUP BY 1, 2, 3)
+"""
+
+
+def _runs(spark: SparkSession, sf_dir: str):
+    d = dataset(spark, sf_dir)
+    responses = set_up(d.responses)
+    return d, responses, runs.make_manifests(configs(responses), d.cases, d.references, d.editions, responses, "synthetic_fixture")
+
+
+@query(_MANIFEST + "SELECT provider, model, run_id, 0.0::FLOAT AS temperature, 1024 AS max_output_tokens, sha256('https://example.org/v1') AS endpoint_sha256, dg.*, responses_sha256, (SELECT count(*) FROM cases) AS expected_cases, 'canonical' AS track, 'synthetic_fixture' AS evidence FROM rd CROSS JOIN dg")
+def run_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, found = _runs(spark, sf_dir)
+    return found.select("provider", "model", "run_id", "temperature", "max_output_tokens", "endpoint_sha256", *runs.DIGESTS, "responses_sha256", F.size("expected_case_ids").cast("long").alias("expected_cases"), "track", "evidence")
+
+
+@query("""SELECT run_id, rule FROM (VALUES ('a-0', 'coverage'), ('a-0', 'digest'), ('a-1', 'digest'), ('a-1', 'settings'), ('a-2', 'version'), ('b-0', 'evidence'), ('b-1', 'configuration'), ('b-2', 'digest'), ('b-2', 'error_with_output')) t(run_id, rule)""", fixture=False)
+def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with a fault each: a case short, other settings, an old version, unknown evidence, no output tokens, an error with output."""
+    d, responses, found = _runs(spark, sf_dir)
+    run = F.col("run_id")
+    bad = found.withColumns({"engine_version": F.when(run == "a-2", "0").otherwise(F.col("engine_version")), "evidence": F.when(run == "b-0", "rumour").otherwise(F.col("evidence")), "max_output_tokens": F.when(run == "b-1", 0).otherwise(F.col("max_output_tokens"))})
+    odd = responses.filter((run != "a-0") | (F.col("ord") != 0)).withColumns({"temperature": F.when((run == "a-1") & (F.col("ord") == 1), F.lit(1.0).cast("float")).otherwise(F.col("temperature")), "output": F.when((run == "b-2") & F.col("error").isNotNull(), "words").otherwise(F.col("output"))})
+    return runs.manifest_violations(bad, odd, d.cases, d.references, d.editions).select("run_id", "rule")
+
+
+_IDENTITY = """, md AS (SELECT DISTINCT provider, model, run_id, coalesce(resolved_model, 'null') AS v FROM responses),
+idn AS (SELECT provider, model, run_id, provider || ' / ' || model || ' / ' || model || ' / ' || substr(sha256('[0.0,"none",1024,"' || sha256('https://example.org/v1') || '",["' || model || '","fp-' || model || '"]]'), 1, 12) AS identity FROM md)
+"""
+
+
+@query(_IDENTITY + "SELECT provider, model, run_id, identity, 1::BIGINT AS versions FROM idn")
+def model_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, responses, found = _runs(spark, sf_dir)
+    return runs.identities(found, responses).select("provider", "model", "run_id", "identity", F.col("versions").cast("long").alias("versions"))
+
+
+@query("""SELECT rule, subject FROM (VALUES ('model_drift', 'synthetic/synthetic-a/a-1'), ('mixed_evidence', 'live_provider,synthetic_fixture')) t(rule, subject)
+UNION ALL SELECT 'unequal_repetitions', provider || ' / ' || model || ' / ' || model || ' / ' || substr(sha256('[0.0,"none",1024,"' || sha256('https://example.org/v1') || '",["' || model || '","fp-' || model || '"]]'), 1, 12) FROM (VALUES ('synthetic', 'synthetic-b')) t(provider, model)""", fixture=False)
+def run_comparability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose fingerprint changes, runs of two kinds of evidence, and a model with a run less."""
+    _, responses, found = _runs(spark, sf_dir)
+    some = found.filter("run_id <> 'b-2'").withColumn("evidence", F.when(F.col("run_id") == "a-0", "live_provider").otherwise(F.col("evidence")))
+    odd = responses.withColumn("system_fingerprint", F.when((F.col("run_id") == "a-1") & (F.col("ord") % 2 == 0), "fp-z").otherwise(F.col("system_fingerprint")))
+    return runs.comparability_violations(runs.identities(some, odd))
+
+
+@query("""SELECT case_id, run_id, 2::BIGINT AS responses, 'duplicate response' AS reason FROM responses WHERE ord % 7 = 2 UNION ALL SELECT 'X' || case_id, run_id, 1::BIGINT, 'unknown case' FROM responses WHERE ord % 11 = 3""")
+def rejected_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dataset(spark, sf_dir)
+    more = d.responses.unionByName(d.responses.filter("ord % 7 = 2")).unionByName(d.responses.filter("ord % 11 = 3").withColumn("case_id", F.concat(F.lit("X"), "case_id")))
+    return runs.rejected(more, d.cases).select("case_id", "run_id", "responses", "reason")
+
+
+def _analysis(spark: SparkSession, sf_dir: str) -> runs.Analysis:
+    d, responses, found = _runs(spark, sf_dir)
+    return runs.analyze(d.cases, d.references, d.editions, found, responses, RESAMPLES)
+
+
+@query(
+    _BOOT.replace("{clusters}", "SELECT identity || ';' || metric AS k, stratum, ref_label, avg(flag::INT) AS value FROM (SELECT provider, model, run_id, stratum, ref_label, 'exact_text' AS metric, exact_text AS flag FROM scores UNION ALL SELECT provider, model, run_id, stratum, ref_label, 'exact_words', exact_words FROM scores) JOIN idn USING (provider, model, run_id) GROUP BY 1, 2, 3").replace(", cl AS", _IDENTITY + ", cl AS", 1)
+    + """SELECT identity, repetitions, cases_per_run, provider_error_rate, recall, t.estimate AS exact_text_estimate, t.lower AS exact_text_lower, t.upper AS exact_text_upper, t.clusters AS exact_text_clusters,
+ w.estimate AS exact_words_estimate, w.lower AS exact_words_lower, w.upper AS exact_words_upper, w.clusters AS exact_words_clusters, differing_responses, differing_exact_text
+ FROM (SELECT identity, count(DISTINCT run_id) AS repetitions, count(DISTINCT case_id) AS cases_per_run, round(avg((classification = 'provider_error')::INT), 6) AS provider_error_rate, round(avg(exact_text::INT) FILTER (WHERE classification <> 'provider_error'), 6) AS recall FROM scores JOIN idn USING (provider, model, run_id) GROUP BY 1)
+ JOIN ci t ON t.k = identity || ';exact_text' JOIN ci w ON w.k = identity || ';exact_words'
+ JOIN (SELECT identity, count(*) AS differing_responses, round(avg(exact_text::INT), 6) AS differing_exact_text FROM scores JOIN idn USING (provider, model, run_id) WHERE ref_label IN (SELECT ref_label FROM cases GROUP BY 1 HAVING count(DISTINCT text) > 1) GROUP BY 1) USING (identity)"""
+)
+def analysis_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_analysis(spark, sf_dir).models)
+
+
+@query(
+    _BOOT.replace("{clusters}", "SELECT 'ab' AS k, stratum, ref_label, avg(exact_text::INT) FILTER (WHERE model = 'synthetic-a') - avg(exact_text::INT) FILTER (WHERE model = 'synthetic-b') AS value FROM scores GROUP BY 2, 3").replace(", cl AS", _IDENTITY + ", cl AS", 1)
+    + """SELECT (SELECT min(identity) FROM idn) AS "left", (SELECT max(identity) FROM idn) AS "right", NULL::VARCHAR AS reason, estimate, lower, upper, clusters, resamples FROM ci"""
+)
+def analysis_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_analysis(spark, sf_dir).comparisons)
 
 
 @query("SELECT ref_label FROM cases GROUP BY 1 HAVING count(DISTINCT translation) = 3")
