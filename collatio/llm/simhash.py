@@ -1,10 +1,11 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 Two fingerprints that differ in at most 2r bits have a common variant within r bits of both. Every
-fingerprint's variants within r bits are dealt out by a linear hash of their bits (the variant's
-bucket). As the hash is linear, a bucket can tell from a fingerprint which of its variants fall in the
-bucket, so the shuffle carries the fingerprint once a bucket and not every variant. A bucket sorts its
-variants, links the fingerprints that meet, and verifies each link.
+fingerprint's variants within r bits are dealt out by a linear hash of their bits. As the hash is linear,
+a task can tell from a fingerprint which of its variants have a given hash, so the shuffle carries the
+fingerprint once a bucket (the hash's lower bits) and not every variant. A bucket goes through its hashes
+(the upper bits) one by one: it sorts the variants of a hash, links the fingerprints that meet, and
+verifies each link.
 """
 
 from __future__ import annotations
@@ -13,17 +14,20 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, small_batches, utf8, written
+from .common import batches, discard, shielded, small_batches, utf8, written
 
 BITS = 64
 #: Variants that a bucket holds at once, 40 bytes each while it sorts them.
 BUCKET_VARIANTS = 2_000_000
+#: Bits of the hash that number the buckets, as long as a bucket can hold all fingerprints: so many, of some 24 bytes.
+BUCKET_BITS, BUCKET_PRINTS = 6, 16_000_000
+#: Parts into which the members of a group are dealt when they learn its name.
+SALTS = 8
 
 
 def shingle_hashes(text: bytes, width: int = 4, seed: int = 42) -> list[int]:
@@ -94,60 +98,73 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def met(fps: np.ndarray, bucket: int, columns: np.ndarray, flips: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fingerprints with a common variant in the bucket, as (fingerprint, smallest one it hangs together with)."""
-    fps = np.unique(fps)
-    delta = linear_hash(fps, columns) ^ bucket
-    order = np.argsort(delta, kind="stable")
-    at = np.searchsorted(delta[order], np.arange(len(flips) + 1))
-    made, owner = [], []
-    for d, masks in enumerate(flips):
-        if len(masks) and at[d] < at[d + 1]:
-            own = order[at[d] : at[d + 1]]
+def met(fps: np.ndarray, bucket: int, bits: int, columns: np.ndarray, flips: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among distinct fingerprints with a common variant in the bucket, as (fingerprint, one that its links lead to)."""
+    hashes = linear_hash(fps, columns)
+    order = np.argsort(hashes, kind="stable")
+    fps = fps[order]
+    at = np.searchsorted(hashes[order], np.arange(len(flips) + 1))
+    del hashes, order
+    filled = np.array([d for d, x in enumerate(flips) if len(x)])
+    u = v = np.zeros(0, np.int64)
+    for target in range(bucket, len(flips), 1 << bits):
+        made, owner = [], []
+        near = target ^ filled  # the fingerprints of these hashes have variants of the target's
+        for d in filled[at[near] < at[near + 1]].tolist():
+            own, masks = np.arange(at[target ^ d], at[(target ^ d) + 1], dtype=np.int32), flips[d]
             made.append((fps[own][:, None] ^ masks[None, :]).ravel())
-            owner.append(np.repeat(own.astype(np.int32), len(masks)))
-    if not made:
-        return fps[:0], fps[:0]
-    variants, owner = np.concatenate(made), np.concatenate(owner)
-    order = np.argsort(variants)
-    variants, owner = variants[order], owner[order]
-    new = np.concatenate(([True], variants[1:] != variants[:-1]))
-    run = np.flatnonzero(new)
-    least = np.minimum.reduceat(owner, run)[np.cumsum(new) - 1]
-    linked = owner != least
-    a, b = owner[linked].astype(np.int64), least[linked].astype(np.int64)
-    a, b = np.divmod(np.unique(a * len(fps) + b), len(fps))
-    close = np.bitwise_count(fps[a] ^ fps[b]) <= most
-    a, b = a[close], b[close]
-    label = roots(a, b, len(fps))
-    child = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[child], fps[label[child]]
-
-
-def links(fps: DataFrame, most: int = 4) -> DataFrame:
-    """Links (`u`, `v`) that connect the same distinct fingerprints as all pairs at `most` or fewer differing bits."""
+            owner.append(np.repeat(own, len(masks)))
+        if not made:
+            continue
+        variants, owner = np.concatenate(made), np.concatenate(owner)
+        order = np.argsort(variants)
+        variants, owner = variants[order], owner[order]
+        new = np.concatenate(([True], variants[1:] != variants[:-1]))
+        run = np.flatnonzero(new)
+        least = np.minimum.reduceat(owner, run)[np.cumsum(new) - 1]
+        linked = owner != least
+        a, b = np.divmod(np.unique(owner[linked].astype(np.int64) * len(fps) + least[linked]), len(fps))
+        close = np.bitwise_count(fps[a] ^ fps[b]) <= most
+        if close.any():
+            label = roots(np.concatenate((u, a[close])), np.concatenate((v, b[close])), len(fps))
+            u = np.flatnonzero(label != np.arange(len(fps)))
+            v = label[u]
+    return fps[u], fps[v]
+
+
+def links(fps: DataFrame, most: int = 4, prints: int = BUCKET_PRINTS, variants: int = BUCKET_VARIANTS) -> DataFrame:
+    """Links (`u`, `v`) that connect the same distinct fingerprints as all pairs at `most` or fewer differing bits.
+
+    Up to `prints` fingerprints, each is copied to 64 buckets. Beyond, buckets are as many as keep one at
+    `prints`, so that a fingerprint is copied once for each of its variants, 2,081 for 4 bits: the method's own price.
+    """
     radius, n = (most + 1) // 2, fps.count()
     flips_all = sum(1 for k in range(radius + 1) for _ in combinations(range(BITS), k))
-    order = max(4, int(np.ceil(np.log2(max(1, n * flips_all / BUCKET_VARIANTS)))))
+    log = lambda x: int(np.ceil(np.log2(max(1, x))))
+    order = max(4, log(n * flips_all / variants))
+    bits = min(order, BUCKET_BITS) if n <= prints else max(BUCKET_BITS, log(n * flips_all / prints))
+    order = max(order, bits)
     columns, flips = ball(BITS, radius, order)
-    filled = np.array([d for d, x in enumerate(flips) if len(x)])
+    low = columns & ((1 << bits) - 1)
+    filled = np.unique(np.array([d for d, x in enumerate(flips) if len(x)]) & ((1 << bits) - 1))
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             own = batch.column(0).to_numpy().view(np.uint64)
-            bucket = (linear_hash(own, columns)[:, None] ^ filled[None, :]).ravel()
+            bucket = (linear_hash(own, low)[:, None] ^ filled[None, :]).ravel()
             sort = np.argsort(bucket, kind="stable")
             values, at = np.unique(bucket[sort], return_index=True)
             parts = np.split(np.repeat(own, len(filled))[sort], at[1:])
             for k in range(0, len(values), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(values[k : k + 4096]), pa.array([p.tobytes() for p in parts[k : k + 4096]], pa.binary())], names=["bucket", "fps"])
 
-    def meet(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        u, v = met(np.frombuffer(b"".join(part["fps"]), np.uint64), int(key[0]), columns, flips, most)
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+    def meet(part: pa.Table) -> pa.Table:
+        own = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in part["fps"]])
+        u, v = met(own, part["bucket"][0].as_py(), bits, columns, flips, most)
+        return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
-    dealt = fps.mapInArrow(deal, "bucket long, fps binary")
-    return dealt.groupBy("bucket").applyInPandas(meet, "u long, v long").distinct()
+    dealt = fps.mapInArrow(deal, "bucket long, fps binary").repartition(1 << bits, "bucket")
+    return dealt.groupBy("bucket").applyInArrow(meet, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -165,7 +182,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v")
-        edges = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        before, edges = edges, written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -173,11 +191,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(made: DataFrame, least: str, most: int = 4) -> DataFrame:
-    """Each distinct fingerprint (`fp`) of `made` and `least`, the smallest value of that column it is linked with."""
+    """Each distinct fingerprint (`fp`) of `made` and `least`, the smallest value of that column it is linked with.
+
+    Fingerprints without links keep their own. The members of a group learn its name in `SALTS` parts.
+    """
     first = written(made.groupBy("fp").agg(F.min(least).alias("first")), "distinct")
     hangs = components(links(first.select("fp"), most))
-    rooted = first.join(hangs, first["fp"] == hangs["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
+    members = first.join(hangs, first["fp"] == hangs["node"]).select("fp", "first", "root")
+    best = members.groupBy("root").agg(F.min("first").alias("best"))
+    named = written(first.join(best, first["fp"] == best["root"]).select("root", F.least("first", "best").alias("least")), "named")
+    salted = named.select("root", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    told = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select("fp", "least")
+    others = first.join(hangs.select(F.col("node").alias("fp")), "fp", "left_anti").join(named.select(F.col("root").alias("fp"), "least"), "fp", "left")
+    return told.unionByName(others.select("fp", F.coalesce("least", "first").alias("least")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,12 +221,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, id_col: str
 def representatives(docs: DataFrame, width: int = 4, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of near duplicates: the one with the smallest id, null ids last.
 
-    Rows of one id with different texts are told apart by the texts; of rows alike in both, one stays.
+    Null texts count as empty, and texts without words are alike. Rows of one id with different texts are
+    told apart by a hash of the texts; of rows alike in both, one stays. An empty table stays empty. All columns
+    stay, whatever their names.
     """
-    columns, h = docs.columns, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), h.alias("h"))
-    made = written(fingerprints(docs.select(key.alias("__key"), F.col(text_col)), width, "__key", text_col), "fingerprints")
-    best = grouped(made, "__key", most).select("least.*").distinct()
-    same = F.col("__id").eqNullSafe(F.col("__best")) & (F.col("__h") == F.col("__best_h"))
-    kept = docs.select("*", F.col(id_col).alias("__id"), h.alias("__h")).join(best.select(F.col("id").alias("__best"), F.col("h").alias("__best_h")), same, "left_semi")
-    return kept.dropDuplicates(["__id", "__h"]).select(*columns)
+    own, names, back = shielded(docs)
+    id_, text = F.col(names[id_col]), F.col(names[text_col])
+    h = F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+    key = F.struct(id_.isNull().alias("none"), id_.alias("id"), h.alias("h"))
+    made = written(fingerprints(own.select(key.alias("key"), text), width, "key", names[text_col]), "fingerprints")
+    best = grouped(made, "key", most).select("least.*").distinct().select(F.col("id").alias("best"), F.col("h").alias("best_h"))
+    same = F.col("id").eqNullSafe(F.col("best")) & (F.col("h") == F.col("best_h"))
+    kept = own.withColumns({"id": id_, "h": h}).join(best, same, "left_semi")
+    return back(kept.dropDuplicates(["id", "h"]))
