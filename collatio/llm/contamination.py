@@ -11,19 +11,21 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, shielded, small_batches, utf8
+from .common import batches, shielded, small_batches, utf8, written
 
 #: Lower-cases A-Z and makes a space of every ASCII byte that is no letter or digit.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
-#: Bytes of benchmark text whose tables are sent to the executors at once.
-TABLE_BYTES = 4_000_000
+#: Bytes of benchmark text whose tables are sent to the executors at once: a worker's tables take some 150 bytes for each.
+TABLE_BYTES = 400_000
 
 
 def spaced(text: bytes) -> bytes:
@@ -97,10 +99,10 @@ class Windows:
                 spans.add((start, start + len(patterns[number])))
         if not spans:
             return n, [], items
-        inside, till = [], 0
+        inside, till, first, at = [], 0, 0, 0
         for start, end in sorted(spans):
             if end > till:
-                first = text.count(b" ", 0, start)
+                first, at = first + text.count(b" ", at, start), start
                 inside.append((first, first + text.count(b" ", start, end) - 1))
                 till = end
         return n, inside, items
@@ -163,17 +165,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 10, id_col
         found = search(own, first, id_col)
         return _digest(found, id_col)
     # The same document is the same id and text; copies of a row get the same hits, and each gets its row back.
-    keyed = own.withColumn("__key", F.sha2(F.to_json(F.struct(F.col(id_col).cast("string"), "text")), 256))
-    parts = [search(keyed, w, id_col, keep=("__key",)) for w in (first, more, *blocks)]
-    counts = parts[0].select(id_col, "__key", "n_words")
-    hits = parts[0].filter(F.size("spans") > 0)
-    for p in parts[1:]:
-        hits = hits.unionByName(p.filter(F.size("spans") > 0))
+    keyed = own.withColumn("__key", _key(F.col(id_col), F.col("text")))
+    counts = written(search(keyed, first, id_col, keep=("__key",)), "hits")
+    hits = counts.filter(F.size("spans") > 0)
+    for windows in chain((more,), blocks):
+        hits = hits.unionByName(written(search(keyed, windows, id_col, keep=("__key",)).filter(F.size("spans") > 0), "hits"))
+    counts = counts.select(id_col, "__key", "n_words")
     hits = hits.groupBy("__key").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     found = counts.join(hits, "__key", "left").select(id_col, "n_words", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return _digest(found, id_col)
 
 
+def _key(id_: Column, text: Column) -> Column:
+    return F.sha2(F.to_json(F.struct(id_.cast("string").alias("id"), text.alias("text"))), 256)
+
+
 def _digest(found: DataFrame, id_col: str) -> DataFrame:
     out = T.StructType([found.schema[id_col], *T._parse_datatype_string(_DIGEST).fields])
 
@@ -187,9 +193,20 @@ def _digest(found: DataFrame, id_col: str) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, words: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", limit: int = TABLE_BYTES) -> DataFrame:
-    """`docs` without those that hold a window of a benchmark item, block of items by block."""
+    """`docs` without those that hold a window of a benchmark item.
+
+    A benchmark over `limit` bytes is searched in blocks, each a pass over the documents; those hit by any are
+    then left out at once. Null texts and texts without words stay, as do all of an empty benchmark or table;
+    repeated rows stay or go alike. All columns stay, whatever their names.
+    """
     own, names, back = shielded(docs)
     first, text, *others = names[id_col], names[text_col], *(n for c, n in names.items() if c not in (id_col, text_col))
-    for windows in benchmark_blocks(benchmark, words, item_col, item_text_col, limit):
-        own = search(own, windows, first, text, (text, *others)).filter(F.size("spans") == 0)
-    return back(own)
+    blocks = benchmark_blocks(benchmark, words, item_col, item_text_col, limit)
+    windows, more = next(blocks, None), next(blocks, None)
+    if windows is None:
+        return docs
+    if more is None:
+        return back(search(own, windows, first, text, (text, *others)).filter(F.size("spans") == 0))
+    keyed = own.withColumn("key", _key(F.col(first), F.col(text)))
+    hits = [written(search(keyed, w, first, text, ("key",)).filter(F.size("spans") > 0).select("key").distinct(), "hits") for w in chain((windows, more), blocks)]
+    return back(keyed.join(reduce(DataFrame.union, hits).distinct(), "key", "left_anti"))
