@@ -10,11 +10,12 @@ ANSWER_LIMIT = 16_384
 
 
 def answers(log: DataFrame) -> DataFrame:
-    """Each submission (`session`, `item`, `seq`, `answer`) with its outcome: accepted, too_long, repeated (the same again) or conflict."""
-    ok = F.char_length("answer") <= ANSWER_LIMIT
+    """Each submission (`session`, `item`, `seq`, `answer`) with its outcome: accepted, too_long, repeated (the same again) or conflict. A null answer is an empty one."""
+    text = F.coalesce("answer", F.lit(""))
+    ok = F.char_length(text) <= ANSWER_LIMIT
     w = Window.partitionBy("session", "item", ok).orderBy("seq")
-    rows = log.withColumns({"ok": ok, "n": F.row_number().over(w), "first": F.first("answer").over(w)})
-    outcome = F.when(~F.col("ok"), "too_long").when(F.col("n") == 1, "accepted").when(F.col("answer").eqNullSafe(F.col("first")), "repeated").otherwise("conflict")
+    rows = log.withColumns({"ok": ok, "n": F.row_number().over(w), "first": F.first(text).over(w)})
+    outcome = F.when(~F.col("ok"), "too_long").when(F.col("n") == 1, "accepted").when(text == F.col("first"), "repeated").otherwise("conflict")
     return rows.select("session", "item", "seq", "answer", outcome.alias("outcome"))
 
 

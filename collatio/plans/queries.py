@@ -11,7 +11,7 @@ from ..functions import providers
 from ..functions.align import word_diff
 from ..functions.digests import json_text, ordered_digest
 from ..functions.text import contains_contiguous, ref_label, words
-from ..operators import guard, ledger, pilot, prompts, report, runs, sampling, selection, sessions, statistics, study, validation
+from ..operators import guard, ledger, pilot, prompts, report, runs, sampling, selection, sessions, statistics, study, trials, validation
 from ..operators.scoring import KEY, score
 from ..sources import usfm
 from .fixture import SQL, configs, dataset, set_up
@@ -570,13 +570,12 @@ def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = items.filter(F.size("needle") >= width).withColumn("k", F.lit(width)).unionByName(short)
     lengths = [r[0] for r in sized.select("k").distinct().collect()]  # at most `width` values
     keys = sized.select("item_id", "needle", F.xxhash64("k", F.slice("needle", F.lit(1), F.col("k"))).alias("key"))
-    found = None
-    for k in lengths:
-        own = docs.select("doc_id", F.explode(F.array_distinct(_starts(k))).alias("key")).join(keys, "key").select("doc_id", "item_id")
-        found = own if found is None else found.unionByName(own)
-    if found is None:
+    if not lengths:
         return docs.select(F.lit(None).cast("long").alias("item_id"), "doc_id").limit(0)
-    near = found.distinct().join(docs, "doc_id").join(items, "item_id")
+    own = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*(_starts(k) for k in lengths)))).alias("key"))  # one pass for all lengths
+    found = own.join(keys.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    near = found.join(texts, "doc_id").withColumn("hay", words(F.col("text"))).join(items, "item_id")  # words of documents with a hit only
     return near.filter(contains_contiguous(F.col("hay"), F.col("needle"))).select("item_id", "doc_id")
 
 
@@ -618,13 +617,17 @@ def stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.col(c).cast("long") for c in ("input_tokens", "output_tokens")})
 
 
-@query("SELECT ['Genesis', 'Exodus', 'Leviticus', 'Numbers', 'Deuteronomy', 'Joshua', 'Judges', 'Ruth', '1 Samuel', '2 Samuel'][(item_id // 20)::INT + 1] AS book, chapter, verse_start, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM refs WHERE pos = 0".replace("\\\\", "\\"))
+_BOOKS = "[" + ", ".join(f"'{n}'" for _, n in usfm.BOOKS) + "]"
+
+
+@query(rf"SELECT {_BOOKS}[(item_id // 20 % {len(usfm.BOOKS)})::INT + 1] AS book, (chapter + 2 * (item_id // {20 * len(usfm.BOOKS)}))::INT AS chapter, verse_start, regexp_replace(text, '\s+', ' ', 'g') AS text FROM refs WHERE pos = 0")
 def usfm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One edition rendered as marked-up files, a book each, and read back."""
+    """One edition rendered as marked-up files, a book each, and read back; books take items in turn, in further chapters from the second turn on."""
     refs = dataset(spark, sf_dir).references.filter("pos = 0")
-    at = F.floor(F.col("item_id") / 20).cast("int")
-    refs = refs.withColumn("book", F.get(F.array(*(F.lit(n) for _, n in usfm.BOOKS)), at))
-    files = usfm.render(refs.withColumn("code", F.get(F.array(*(F.lit(c) for c, _ in usfm.BOOKS)), at)), F.col("code"))
+    at = (F.floor(F.col("item_id") / 20) % len(usfm.BOOKS)).cast("int")
+    refs = refs.withColumns({"book": F.get(F.array(*(F.lit(n) for _, n in usfm.BOOKS)), at), "chapter": (F.col("chapter") + 2 * F.floor(F.col("item_id") / (20 * len(usfm.BOOKS)))).cast("int")})
+    refs = refs.withColumn("code", F.get(F.array(*(F.lit(c) for c, _ in usfm.BOOKS)), at))
+    files = usfm.render(refs, F.col("code"))
     return usfm.import_edition(files, "ed_a").select("book", "chapter", "verse_start", "text")
 
 
@@ -637,3 +640,34 @@ def execution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = F.struct(F.when(n % 5 != 0, n).cast(d).alias("input_tokens"), F.when(n % 7 != 0, F.floor(F.abs("value"))).cast(d).alias("output_tokens"), F.when(n % 5 != 0, n * 3).cast(d).alias("accounted_nanoeur"), (n % 7 == 0).alias("reservation_retained"))
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run"), F.when(n % 11 != 0, meta).alias("execution"))
     return report.execution_summary(rows, "run").withColumns({c: F.col(c).cast("long") for c in ("input_tokens", "output_tokens", "accounted_nanoeur")})
+
+
+@query("""SELECT 'r' || user_id AS subject, unnest(list_filter([CASE WHEN user_id % 5 = 1 THEN 'run_id' END, CASE WHEN user_id % 5 = 2 THEN 'model' END, CASE WHEN user_id % 3 = 0 THEN 'case_limit' END], lambda x: x IS NOT NULL)) AS rule
+FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 5 <> 1 UNION ALL SELECT 'r ' || user_id, unnest(list_filter(['run_id', CASE WHEN user_id % 3 = 0 THEN 'case_limit' END], lambda x: x IS NOT NULL)) FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 5 = 1""", fixture=False)
+def trial_config_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations with a fault in some: a blank within the run's name, a blank model, no cases."""
+    u = F.col("user_id")
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    configs = users.select(F.concat(F.when(u % 5 == 1, "r ").otherwise("r"), u.cast("string")).alias("run_id"), F.when(u % 5 == 2, "  ").otherwise("m").alias("model"), F.when(u % 3 == 0, 0).otherwise(1).alias("case_limit"))
+    return trials.config_violations(configs)
+
+
+@query("""SELECT 's' || u AS session, unnest(list_filter([CASE WHEN u % 6 = 1 THEN 'progress' END, CASE WHEN u % 6 IN (2, 3) THEN 'response' END, CASE WHEN u % 6 = 4 THEN 'attempts' END, CASE WHEN u % 6 = 5 THEN 'attempt_accepted' END], lambda x: x IS NOT NULL)) AS rule
+FROM (SELECT DISTINCT user_id AS u FROM events)""", fixture=False)
+def saved_session_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved trials of three cases and two answers, five of six with a fault: finished too early, answers of another case or of
+    another model, attempts in an open trial, an answer without an accepted attempt."""
+    u = F.col("user_id")
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().withColumn("session", F.concat(F.lit("s"), u.cast("string")))
+    hidden = u % 6 == 5
+    text = lambda: F.lit(None).cast("string")
+    sessions_ = users.select("session", F.lit("m").alias("model"), hidden.alias("restricted"), F.when(hidden, "high").alias("reasoning_effort"), F.lit(False).alias("pending"), (u % 6 == 1).alias("finished"))
+    plan = users.select("session", F.posexplode(F.array(*map(F.lit, "abc"))).alias("place", "case_id"))
+    given = users.select("*", F.posexplode(F.array(*map(F.lit, "ab"))).alias("place", "case_id"))
+    responses = given.select(
+        "session", "place", F.when(u % 6 == 2, "z").otherwise(F.col("case_id")).alias("case_id"), F.col("session").alias("run_id"), F.when(u % 6 == 3, "other").otherwise("m").alias("model"), F.when(hidden, trials.RESTRICTED).otherwise(trials.INTERACTIVE).alias("provider"),
+        F.when(hidden, "m").alias("resolved_model"), text().alias("error"), F.when(hidden, F.struct(F.lit(1).alias("input_tokens"))).alias("execution"), F.lit(None).cast("float").alias("temperature"), F.when(hidden, "high").alias("effort"), F.lit(None).cast("long").alias("seed"),
+        text().alias("provider_request_id"), text().alias("system_fingerprint"), F.lit("words").alias("output"),
+    )
+    tried = given.filter((u % 6 == 4) | hidden).select("session", "place", "case_id", F.when(F.col("place") == 0, "accepted").otherwise("started").alias("state"), F.lit("d").alias("request_sha256"), F.lit("d").alias("response_sha256"))
+    return trials.progress_violations(sessions_, responses, plan, tried)

@@ -24,12 +24,13 @@ def stream_answers(log: DataFrame) -> DataFrame:
         accepted = state.get[0] if state.exists else None
         out = []
         for seq, answer in zip(batch["seq"], batch["answer"], strict=True):
-            if answer is not None and len(answer) > ANSWER_LIMIT:
+            text = answer or ""
+            if len(text) > ANSWER_LIMIT:
                 outcome = "too_long"
             elif accepted is None:
-                accepted, outcome = answer, "accepted"
+                accepted, outcome = text, "accepted"
             else:
-                outcome = "repeated" if answer == accepted else "conflict"
+                outcome = "repeated" if text == accepted else "conflict"
             out.append((*key, seq, answer, outcome))
         if accepted is not None:
             state.update((accepted,))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from collatio.functions import digests
-from collatio.operators import runs
+from collatio.operators import export, runs, statistics, trials
 from collatio.plans import fixture
 
 SF = "/root/testdata/sf0.001"
@@ -41,7 +41,7 @@ def test_digest_of_no_rows(spark):
     assert digests.file_set_digest(files).first()[0] == hashlib.sha256(b"a\0" + b"1\0" + b"b\0" + b"2\0").hexdigest()
 
 
-def test_a_valid_study(study):
+def test_a_valid_study(study, tmp_path):
     cases, refs, editions, responses, configs = study
     manifests = runs.make_manifests(configs, cases, refs, editions, responses, "synthetic_fixture")
     assert runs.manifest_violations(manifests, responses, cases, refs, editions).collect() == []
@@ -52,6 +52,18 @@ def test_a_valid_study(study):
     assert [r.repetitions for r in found.models.collect()] == [3, 3]
     assert all(0 <= r.exact_text_lower <= r.exact_text_estimate <= r.exact_text_upper <= 1 for r in found.models.collect())
     assert found.comparisons.count() == 1
+    written = export.export_study(found, str(tmp_path))
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["analysis.html", "analysis.json", "analysis.md", "examples.jsonl"]
+    assert json.loads((tmp_path / "analysis.json").read_text()) == json.loads(json.dumps(written))
+    assert len((tmp_path / "examples.jsonl").read_text().splitlines()) == len(written["examples"])
+    text = (tmp_path / "analysis.md").read_text()
+    assert all(x in text for x in ("## Paired comparisons", "## Annotated failures", "### Stability", "3 complete repetitions"))
+    assert "</script><script>" not in (tmp_path / "analysis.html").read_text().split('id="data">')[1].split("</script>")[0]
+    assert export.artifact_faults(written) == []
+    bad = {**written, "track": "?", "models": {"m": {"repetitions": 1, "cases_per_run": 1, "exact_text": {"estimate": 2, "lower": 0, "upper": 1, "clusters": 3}, "exact_words": written["models"][next(iter(written["models"]))]["exact_words"]}}}
+    assert export.artifact_faults(bad) == ["unknown track or evidence", "m: invalid interval of exact_text"]
+    with pytest.raises(ValueError, match="unknown track"):
+        export.study_page([bad])
 
 
 def test_faults_stop_the_analysis(study, spark):
@@ -81,3 +93,18 @@ def test_settings_without_a_temperature_are_not_compared(study):
     assert all("/ synthetic-" in r.identity for r in runs.identities(manifests, bare).collect())
     found = runs.analyze(cases, refs, editions, manifests, bare, 100).comparisons.first()
     assert found.reason == "effective sampling settings are unknown" and found.estimate is None
+
+
+def test_large_strata_draw_alike(spark):
+    rows = spark.createDataFrame([(f"k{k % 2}", f"s{k % 3}", f"r{k:03}", (k * 37 % 11) / 11) for k in range(90)], "k string, stratum string, ref_label string, value double")
+    one, other = (statistics.bootstrap(rows, 150, "k", most=most).orderBy("k").collect() for most in (1000, 0))
+    assert [r.k for r in one] == [r.k for r in other] == ["k0", "k1"]
+    assert all(abs(a[c] - b[c]) < 1e-12 for a, b in zip(one, other, strict=True) for c in ("estimate", "lower", "upper"))
+
+
+def test_where_trials_go_on(spark):
+    plan = spark.createDataFrame([(s, k, c) for s in "xyz" for k, c in enumerate("abc")], "session string, place int, case_id string")
+    ledger = spark.createDataFrame([("x", 0, "a"), ("x", 1, "b"), ("y", 1, "b")], "session string, place int, case_id string")
+    assert {r.session: (r.next, r.broken) for r in trials.resume_place(ledger, plan).collect()} == {"x": (2, False), "y": (1, True), "z": (0, False)}
+    given = spark.createDataFrame([("x", "ab", (1, 2, 3)), ("x", None, None)], "session string, output string, execution struct<input_tokens:int,output_tokens:int,accounted_nanoeur:int>")
+    assert [(r.answers, r.chars, int(r.accounted_nanoeur)) for r in trials.trial_totals(given).collect()] == [(2, 2, 3)]
