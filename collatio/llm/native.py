@@ -24,18 +24,39 @@ def code_points(parts: Column) -> Column:
     return F.length(F.array_join(parts, ""))
 
 
+#: Matches that are placed in one go; more are placed in chunks, as a growing array is copied with each element.
+CHUNK = 128
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as structs (start, end, value), in code points, end exclusive."""
+    kind = "array<struct<start:int,end:int,value:string>>"
+
+    def place(found: Column, gaps: Column, begin: Column) -> Column:
+        """Matches behind the gaps before them, from a place on."""
 
-    def place(m: Column, gaps: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             start = acc["at"] + F.length(F.get(gaps, i))
-            value = F.get(m, i)
+            value = F.get(found, i)
             end = start + F.length(value)
             return F.struct(end.alias("at"), F.array_append(acc["found"], F.struct(start.alias("start"), end.alias("end"), value.alias("value"))).alias("found"))
 
-        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), none, step, lambda acc: acc["found"])
+        none = F.struct(begin.alias("at"), F.array().cast(kind).alias("found"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), none, step, lambda acc: acc["found"])
+
+    def chunked(found: Column, gaps: Column) -> Column:
+        part = lambda x, k: F.slice(x, k * CHUNK + 1, F.lit(CHUNK))
+        lengths = lambda x: F.length(F.array_join(x, ""))
+        numbers = F.sequence(F.lit(0), ((F.size(found) - 1) / CHUNK).cast("int"))
+
+        def step(acc: Column, k: Column) -> Column:
+            return F.struct((acc["at"] + lengths(part(found, k)) + lengths(part(gaps, k))).alias("at"), F.array_append(acc["begins"], acc["at"]).alias("begins"))
+
+        begins = F.aggregate(numbers, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")), step, lambda acc: acc["begins"])
+        return F.flatten(F.transform(begins, lambda begin, k: place(part(found, k), part(gaps, k), begin)))
+
+    def placed(found: Column, gaps: Column) -> Column:
+        return F.when(F.size(found) <= CHUNK, place(found, gaps, F.lit(0))).otherwise(chunked(found, gaps))
 
-    found = let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: let(F.split(text, pattern, -1), lambda gaps: place(m, gaps)))
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    found = let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: let(F.split(text, pattern, -1), lambda gaps: placed(m, gaps)))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(kind))

@@ -31,7 +31,7 @@ PATTERNS = (
     ("hex", r"[0-9a-f]{24,}"),
     ("vendor", r"gh[pousr]_[A-Za-z0-9]{36,}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
     ("pem", PEM),
-    ("url", r"[a-z]{2,10}://[^/\s:@]{1,64}:[^/\s:@]{3,64}@"),
+    ("url", r"(?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]*+://[^/\s:@]*+:[^/\s:@]{3,}+@"),
 )
 BASE = 3
 MIN_ASSIGNED = 6
@@ -64,6 +64,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
     Base spans always stay; the method's own are kept unless copied. Null texts have no spans. Null
     owners count as one owner. Repeated rows are scanned each. `keep` names further columns to carry.
+    The tables have one column for owners and repositories, `source`, so by default both thresholds look at
+    it and the lower one decides; give two columns where there are two. Texts of any length are scanned whole, an
+    empty table gives no rows, and columns that are not kept are left out, whatever their names.
     Only candidates are shuffled, as hashes, counted on the map side first; rows without candidates are not.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
