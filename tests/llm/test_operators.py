@@ -141,9 +141,10 @@ def test_contamination(spark, docs, rows, none):
     for limit in (contamination.TABLE_BYTES, 60):  # one block of items, and several
         found = contamination.contamination(docs, items, limit=limit).collect()
         same([(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found], expected)
-    kept = contamination.decontaminated(docs, items)
-    assert kept.columns == docs.columns
-    same([(r.doc_id, r.text) for r in kept.collect()], [(i, t) for (i, t, _), e in zip(rows, expected, strict=True) if not e[-1]])
+        kept = contamination.decontaminated(docs, items, limit=limit)
+        assert kept.columns == docs.columns
+        same([(r.doc_id, r.text) for r in kept.collect()], [(i, t) for (i, t, _), e in zip(rows, expected, strict=True) if not e[-1]])
+    same(contamination.decontaminated(docs, items.limit(0)).collect(), docs.collect())
     assert contamination.contamination(none, items).collect() == []
     assert not any(r.n_hit for r in contamination.contamination(docs, items.limit(0)).collect())
 
@@ -165,6 +166,34 @@ def test_secrets(docs, rows, none):
     assert secrets.digest(none).collect() == []
 
 
+def test_spans_of_all_kinds(spark):
+    """All spans, as Python's own patterns and a plain count of owners give them; more of them than are placed in one go."""
+    import re
+
+    pem = lambda k: f"-----BEGIN RSA PRIVATE KEY-----\n{k * 16}\n{k * 8}==\n-----END RSA PRIVATE KEY-----"
+    r = random.Random(8)
+    parts = ["plain words ", "é ", "redis://:passwort@host ", "xx postgres+psycopg2://user:" + "p" * 90 + "@db ", "1http://a:bcd@e ", "https://example.org/a:b@c ", "ghp_" + "aB3" * 13 + " ", "token = abcdef99 ", "AKIA" + "A1" * 9 + " ", "0123456789abcdef" * 2 + "\n", pem("Ab1c") + " ", pem("Zz9y") + "\n", pem("Qq7t"), "mail a@b "]
+    rows = [(k, "".join(r.choice(parts) for _ in range(n)), r.choice("abcdef")) for k, n in enumerate([*[r.randint(0, 12) for _ in range(30)], 700])]
+    found, owners = {}, {}
+    for k, text, owner in rows:
+        for kind, (name, pattern) in enumerate(secrets.PATTERNS):
+            for m in re.finditer(pattern.replace(r"\z", r"\Z"), text):
+                value = m[0]
+                if name == "assign":
+                    value = re.fullmatch(secrets.ASSIGN, value)[1]
+                    if len(value) < 6:
+                        continue
+                if name == "pem":
+                    value = re.sub(r"-----(?:BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|[^A-Za-z0-9+/=]", "", value) or value
+                found.setdefault(k, []).append((m.start(), kind, m.end(), value))
+                owners.setdefault(value, set()).add(owner)
+    names = [n for n, _ in secrets.PATTERNS]
+    expected = {k: ",".join(f"{names[kind]}:{a}:{b}" for a, kind, b, v in sorted(found.get(k, [])) if kind < secrets.BASE or len(owners[v]) <= 3) for k, _, _ in rows}
+    got = secrets.digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {x.doc_id: x.spans for x in got} == expected
+    assert any(len(o) > 3 for o in owners.values()) and all(any(f"{n}:" in x for x in expected.values()) for n in names)
+
+
 def test_copied_secrets_are_examples(spark):
     """The method's own kinds go where many owners hold the value; base kinds stay."""
     own, copied = "ghp_" + "a" * 36, "ghp_" + "b" * 36
@@ -286,9 +315,11 @@ def test_links_at_four_bits(spark):
             prints.append(centre ^ sum(1 << b for b in flips))
     prints = list(dict.fromkeys(prints))
     fps = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long").repartition(3)
-    least = {x.node: x.root for x in simhash.components(simhash.links(fps)).collect()}
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    assert [least.get(s, s) for s in signed] == brute.components(signed, prints)
+    # As usual; in many slices of few buckets; and in more buckets than any fingerprint has copies of.
+    for limits in ({}, {"variants": 2_000}, {"prints": 100, "variants": 2_000}):
+        least = {x.node: x.root for x in simhash.components(simhash.links(fps, **limits)).collect()}
+        assert [least.get(s, s) for s in signed] == brute.components(signed, prints)
 
 
 def test_components_of_a_path_and_a_star(spark):
