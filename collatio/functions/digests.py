@@ -22,8 +22,8 @@ def json_text(value: Column) -> Column:
 
 
 def record_json(**fields: Column) -> Column:
-    """Fields as compact JSON in the order given; absent ones as `null`."""
-    return F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"})
+    """Fields as compact JSON in the order given; absent ones are left out, inside of structs too."""
+    return F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())))
 
 
 def json_digest(value: Column, keep_nulls: bool = False) -> Column:
@@ -51,20 +51,21 @@ def _running(rows: Iterator[pa.RecordBatch], begin: bytes, between: bytes, end:
         yield pa.RecordBatch.from_pylist([dict(zip(names, (*key, digest.hexdigest()), strict=True))], schema=schema)
 
 
-def ordered_digest(rows: DataFrame, value: Column, order: Column, *keys: str, lines: bool = False) -> DataFrame:
-    """`digest` (a row for each of `keys`; without keys one row, of no rows too): of a JSON array of JSON texts in order, or of them as lines.
+def ordered_digest(rows: DataFrame, value: Column, order: Column, *keys: str, lines: bool = False, around: tuple[str, str] = ("", "")) -> DataFrame:
+    """`digest` (a row for each of `keys`; without keys one row, of no rows too): of a JSON array of JSON texts in order, or of them as lines;
+    `around` stands before and behind.
 
     Rows are sorted by Spark and hashed as they pass, so a task holds a batch. A digest of a file is one
     value over all its bytes in order, so the bytes of one meet in one task, as in any hash of a file.
     """
-    begin, between, end = (b"", b"\n", b"\n") if lines else (b"[", b",", b"]")
+    begin, between, end = (b"", b"\n", b"\n") if lines else ((around[0] + "[").encode(), b",", ("]" + around[1]).encode())
     own = rows.select(*keys, order.alias("__o"), F.encode(value, "UTF-8").alias("__v"))
     own = own.repartition(*keys).sortWithinPartitions(*keys, "__o") if keys else own.orderBy("__o").coalesce(1)
     out = T.StructType([*(rows.schema[k] for k in keys), T.StructField("digest", T.StringType())])
     found = own.drop("__o").mapInArrow(lambda batches: _running(batches, begin, between, end), out)
     if keys:
         return found
-    nothing = hashlib.sha256(b"" if lines else b"[]").hexdigest()
+    nothing = hashlib.sha256(b"" if lines else begin + end).hexdigest()
     return found.agg(F.coalesce(F.max("digest"), F.lit(nothing)).alias("digest"))
 
 

@@ -63,7 +63,20 @@ def passages(candidates: DataFrame, count: int, length: int = 3) -> DataFrame:
     return chosen.select("book", "chapter", "verse_start", "verse_end", "t.translation", F.concat("t.case_id", F.lit("-passage")).alias("case_id"), "t.text", F.lit("passage").alias("stratum"), F.lit("canonical").alias("prompt_variant"))
 
 
-def public_only(rows: DataFrame, editions: DataFrame, case_id: str = "case_id", hidden: str = "BQ-HID-") -> DataFrame:
+#: How ids of development cases and of hidden cases begin.
+DEV, HIDDEN = "BQ-DEV-", "BQ-HID-"
+
+
+def gate(cases: DataFrame, editions: DataFrame, count: int) -> None:
+    """Raises unless a pilot of `count` references may be drawn: two or more, public editions, development cases only, and enough of them."""
+    private = editions.filter((F.col("license_kind") != "public_domain") | ~F.col("redistribute_reference_text"))
+    if count < 2 or not private.isEmpty() or not cases.filter(~F.col("case_id").startswith(DEV)).isEmpty():
+        raise ValueError("a pilot needs at least two public development references and editions that may be redistributed")
+    if cases.select("ref_label").distinct().limit(count).count() < count:
+        raise ValueError("not enough public references for the pilot")
+
+
+def public_only(rows: DataFrame, editions: DataFrame, case_id: str = "case_id", hidden: str = HIDDEN) -> DataFrame:
     """`rows`, or none of them unless all editions are public and no case id is hidden."""
     gate = editions.agg(F.bool_and((F.col("license_kind") == "public_domain") & F.col("redistribute_reference_text")).alias("public"))
     ids = rows.agg(F.coalesce(F.bool_and(~F.col(case_id).startswith(hidden)), F.lit(True)).alias("shown"))

@@ -77,13 +77,13 @@ def exact_alternatives(scores: DataFrame) -> DataFrame:
     return rows.groupBy("requested_translation", "matched").agg(F.count(F.lit(1)).alias("responses"))
 
 
-def first_runs(scores: DataFrame, order: str = "output") -> DataFrame:
-    """The first row of each model, case and run."""
-    once = Window.partitionBy("model_key", "case_id", "run_id").orderBy(order)
+def first_runs(scores: DataFrame, order: str | None = None) -> DataFrame:
+    """The first row of each model, case and run: by `order`, else by place in the file (`line`), where scores have it, else by output."""
+    once = Window.partitionBy("model_key", "case_id", "run_id").orderBy(order or ("line" if "line" in scores.columns else "output"))
     return scores.withColumn("__n", F.row_number().over(once)).filter("__n = 1").drop("__n")
 
 
-def stability(scores: DataFrame, order: str = "output") -> DataFrame:
+def stability(scores: DataFrame, order: str | None = None) -> DataFrame:
     """By model, over cases with two or more completed runs: share of the most common output, share exact."""
     rows = scores.filter("classification not in ('provider_error', 'truncated')").withColumn("model_key", model_key())
     by_output = first_runs(rows, order).groupBy("model_key", "case_id", "response_sha256").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("exact_text").cast("int")).alias("exact"))
@@ -126,6 +126,9 @@ def markdown(scores: DataFrame) -> str:
         lines += [f"## By {view}" if view != "overall" else "## Overall", "", "| Group | Responses | Exact text | Exact words | Word accuracy |", "| --- | ---: | ---: | ---: | ---: |"]
         lines += [f"| {r['name'].replace('|', chr(92) + '|')} | {r['responses']} | {100 * r['exact_text_rate']:.2f}% | {100 * r['exact_words_rate']:.2f}% | {100 * r['mean_word_accuracy']:.2f}% |" for r in rows]
         lines.append("")
+    lines += ["## Classes", "", "| Model | Class | Responses |", "| --- | --- | ---: |"]
+    classes = class_histogram(scores.withColumn("model_key", model_key()), "model_key").orderBy("model_key", "classification")
+    lines += [f"| {r[0].replace('|', chr(92) + '|')} | {r[1]} | {r[2]} |" for r in classes.collect()] + [""]
     for title, frame, names in (("Requested and resembled", confusion_matrix(scores), ("requested_translation", "resembles")), ("Exact alternatives", exact_alternatives(scores), ("requested_translation", "matched"))):
         lines += [f"## {title}", "", "| Requested | Other | Responses |", "| --- | --- | ---: |"]
         lines += [f"| {r[0]} | {r[1]} | {r[2]} |" for r in frame.orderBy(*names).collect()] + [""]

@@ -33,7 +33,7 @@ def reference_struct() -> Column:
 
 
 def dataset_digests(cases: DataFrame, references: DataFrame, editions: DataFrame, case_order: str = "ord", reference_order: tuple[str, ...] = ("translation", *KEY), edition_order: str = "id") -> DataFrame:
-    """One row: the digests of cases, references, catalog and prompts, each as a JSON array in its order."""
+    """One row: the digests of cases, references, catalog and prompts, each as JSON in its order."""
     case = record_json(case_id=F.col("case_id"), translation=F.col("translation"), reference=reference_struct(), stratum=F.col("stratum"), prompt_variant=F.col("prompt_variant"))
     reference = record_json(translation=F.col("translation"), reference=reference_struct(), text=F.col("text"))
     edition = record_json(**{n: F.col(n) for n in ("id", "name", "abbreviation", "edition", "license_kind", "license_url", "source_url", "redistribute_reference_text")})
@@ -41,7 +41,7 @@ def dataset_digests(cases: DataFrame, references: DataFrame, editions: DataFrame
     parts = (
         ordered_digest(cases, case, F.col(case_order)),
         ordered_digest(references, reference, F.struct(*reference_order)),
-        ordered_digest(editions, edition, F.col(edition_order)),
+        ordered_digest(editions, edition, F.col(edition_order), around=('{"schema_version":1,"translations":', "}")),
         ordered_digest(asked, json_text(F.col("prompt")), F.col(case_order)),
     )
     named = [p.select(F.col("digest").alias(n)) for p, n in zip(parts, DIGESTS, strict=True)]
@@ -180,12 +180,12 @@ def analyze(cases: DataFrame, references: DataFrame, editions: DataFrame, manife
 
     Runs of one identity are repetitions of one model. Provider errors count as failures, but not in `recall`.
     """
+    if not 100 <= resamples <= 100_000 or manifests.isEmpty():
+        raise ValueError("runs and 100 to 100000 resamples are needed")
     validation.require_valid(validation.dataset_violations(cases, references, editions))
     for frame, what in ((validation.unbalanced(cases, editions), "references without every edition or with several strata"), (validation.overlaps(cases), "overlapping references")):
         if frame.limit(1).count():
             raise ValueError(what)
-    if not 100 <= resamples <= 100_000 or manifests.isEmpty():
-        raise ValueError("runs and 100 to 100000 resamples are needed")
     if first := manifest_violations(manifests, responses, cases, references, editions).orderBy("run_id", "rule").first():
         raise ValueError(f"run {first['run_id']}: {first['reason']}")
     named = identities(manifests, responses)

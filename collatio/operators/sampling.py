@@ -134,7 +134,11 @@ def sample(config: SamplingConfig, private_seed: str, references: DataFrame, edi
     return public.withColumn("split", F.lit("dev")).unionByName(private.withColumn("split", F.lit("hid"))).select("split", "ref_label", "stratum")
 
 
-def build_cases(config: SamplingConfig, picked: DataFrame, editions: DataFrame, prefix: str = "BQ") -> DataFrame:
+#: Fixed value: how ids of cases begin.
+PREFIX = "BQ"
+
+
+def build_cases(config: SamplingConfig, picked: DataFrame, editions: DataFrame, prefix: str = PREFIX) -> DataFrame:
     """A case for each pick and edition (`translation`, `pos`), in order of label and edition."""
     rows = picked.crossJoin(F.broadcast(editions.select("translation", "pos")))  # editions are a handful
     digest = F.substring(F.sha2(F.concat_ws("|", F.lit(config.release_id), "split", "translation", "ref_label"), 256), 1, 16)

@@ -46,7 +46,9 @@ def duplicate_responses(responses: DataFrame) -> DataFrame:
 def score(responses: DataFrame, cases: DataFrame, references: DataFrame) -> DataFrame:
     """One row per response of a known case whose edition has a text; flags, edit counts, rates, class.
 
-    `responses` may lack `error`, `truncated`, `typed_refusal`, `resolved_model`; they count as absent.
+    `responses` may lack `error`, `truncated`, `typed_refusal`, `resolved_model`; they count as absent. A column
+    `line`, a response's place in its file, is carried. Responses of unknown cases have no row here: `runs.score_all`
+    rejects them, and responses given twice, before it scores.
     """
     for name, kind in (("error", "string"), ("truncated", "boolean"), ("typed_refusal", "boolean"), ("resolved_model", "string")):
         if name not in responses.columns:
@@ -103,5 +105,5 @@ def score(responses: DataFrame, cases: DataFrame, references: DataFrame) -> Data
         ref_label(*(F.col(k) for k in KEY)).alias("ref_label"), "stratum", "exact_text", "exact_words", "word_error_rate", "character_error_rate", "word_accuracy",
         "insertions", "deletions", "substitutions", "refusal", "extraneous_text", kind.alias("classification"),
         first("exact_other_translations").alias("exact_other_translation"), "exact_other_translations", first("closest_translations").alias("closest_translation"), "closest_translations",
-        "alternative_edition_token_overlap", "output",
+        "alternative_edition_token_overlap", "output", *(["line"] if "line" in responses.columns else []),
     )

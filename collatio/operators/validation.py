@@ -124,13 +124,14 @@ def coverage(expected: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def run_violations(responses: DataFrame) -> DataFrame:
-    """Rows of a run against its rules: no seed, no output beside an error; one resolved model and fingerprint a model."""
+    """Rows of a run against its rules: no seed, no output beside an error; one resolved model and fingerprint within a run."""
     own = F.concat_ws("/", "run_id", "case_id")
     parts = [_found(responses, "error_with_output", F.col("error").isNotNull() & (F.col("output") != ""), own, "an error has no output")]
     if "seed" in responses.columns:
         parts.append(_found(responses, "seeded", F.col("seed").isNotNull(), own, "seeds are not recorded"))
-    drift = responses.filter("error is null").groupBy("provider", "model").agg(F.countDistinct(F.coalesce("resolved_model", F.lit(""))).alias("n"))
-    parts.append(_found(drift, "model_drift", F.col("n") > 1, F.concat_ws("/", "provider", "model"), "responses resolve to several models"))
+    told = [F.coalesce(c, F.lit("")) for c in ("resolved_model", "system_fingerprint") if c in responses.columns]
+    drift = responses.filter("error is null").groupBy("provider", "model", "run_id").agg(F.size(F.collect_set(F.struct(*told))).alias("n"))
+    parts.append(_found(drift, "model_drift", F.col("n") > 1, F.concat_ws("/", "provider", "model", "run_id"), "responses resolve to several models or fingerprints"))
     return _all(*parts)
 
 

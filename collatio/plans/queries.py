@@ -221,11 +221,13 @@ def prompt_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The dataset's digests, and those of each run's responses, over JSON in the order of files.
-_MANIFEST = _PROMPTS + """, dg AS (SELECT (SELECT sha256('[' || string_agg(to_json({'case_id': case_id, 'translation': translation, 'reference': {'book': book, 'chapter': chapter, 'verse_start': verse_start, 'verse_end': verse_end}, 'stratum': stratum, 'prompt_variant': prompt_variant})::VARCHAR, ',' ORDER BY ord) || ']') FROM cases) AS cases_sha256,
- (SELECT sha256('[' || string_agg(to_json({'translation': translation, 'reference': {'book': book, 'chapter': chapter, 'verse_start': verse_start, 'verse_end': verse_end}, 'text': text})::VARCHAR, ',' ORDER BY translation, book, chapter, verse_start) || ']') FROM cases) AS references_sha256,
- (SELECT sha256('[' || string_agg(to_json({'id': id, 'name': 'Edition ' || upper(id[-1]), 'abbreviation': id, 'edition': edition, 'license_kind': 'public_domain', 'license_url': 'https://example.org/l', 'source_url': 'https://example.org/s', 'redistribute_reference_text': true})::VARCHAR, ',' ORDER BY id) || ']') FROM editions) AS catalog_sha256,
+_MANIFEST = _PROMPTS + """, dg AS (SELECT (SELECT sha256('[' || string_agg(to_json({'case_id': case_id, 'translation': translation, 'reference': {'book': book, 'chapter': chapter, 'verse_start': verse_start}, 'stratum': stratum, 'prompt_variant': prompt_variant})::VARCHAR, ',' ORDER BY ord) || ']') FROM cases) AS cases_sha256,
+ (SELECT sha256('[' || string_agg(to_json({'translation': translation, 'reference': {'book': book, 'chapter': chapter, 'verse_start': verse_start}, 'text': text})::VARCHAR, ',' ORDER BY translation, book, chapter, verse_start) || ']') FROM cases) AS references_sha256,
+ (SELECT sha256('{"schema_version":1,"translations":[' || string_agg(to_json({'id': id, 'name': 'Edition ' || upper(id[-1]), 'abbreviation': id, 'edition': edition, 'license_kind': 'public_domain', 'license_url': 'https://example.org/l', 'source_url': 'https://example.org/s', 'redistribute_reference_text': true})::VARCHAR, ',' ORDER BY id) || ']}') FROM editions) AS catalog_sha256,
  (SELECT sha256('[' || string_agg(to_json(prompt)::VARCHAR, ',' ORDER BY ord) || ']') FROM pr WHERE prompt_variant = 'canonical') AS prompts_sha256),
-rd AS (SELECT provider, model, run_id, sha256('[' || string_agg(to_json({'case_id': case_id, 'run_id': run_id, 'provider': provider, 'model': model, 'resolved_model': resolved_model, 'output': output, 'error': error, 'temperature': 0.0::FLOAT, 'reasoning_effort': 'none', 'seed': NULL, 'system_fingerprint': 'fp-' || model})::VARCHAR, ',' ORDER BY ord) || ']') AS responses_sha256 FROM responses GROUP BY 1, 2, 3)
+rd AS (SELECT provider, model, run_id, sha256('[' || string_agg(CASE WHEN error IS NULL
+  THEN to_json({'case_id': case_id, 'run_id': run_id, 'provider': provider, 'model': model, 'resolved_model': resolved_model, 'output': output, 'temperature': 0.0::FLOAT, 'reasoning_effort': 'none', 'system_fingerprint': 'fp-' || model})::VARCHAR
+  ELSE to_json({'case_id': case_id, 'run_id': run_id, 'provider': provider, 'model': model, 'resolved_model': resolved_model, 'output': output, 'error': error, 'temperature': 0.0::FLOAT, 'reasoning_effort': 'none', 'system_fingerprint': 'fp-' || model})::VARCHAR END, ',' ORDER BY ord) || ']') AS responses_sha256 FROM responses GROUP BY 1, 2, 3)
 """
 
 
@@ -622,13 +624,16 @@ _BOOKS = "[" + ", ".join(f"'{n}'" for _, n in usfm.BOOKS) + "]"
 
 @query(rf"SELECT {_BOOKS}[(item_id // 20 % {len(usfm.BOOKS)})::INT + 1] AS book, (chapter + 2 * (item_id // {20 * len(usfm.BOOKS)}))::INT AS chapter, verse_start, regexp_replace(text, '\s+', ' ', 'g') AS text FROM refs WHERE pos = 0")
 def usfm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One edition rendered as marked-up files, a book each, and read back; books take items in turn, in further chapters from the second turn on."""
+    return usfm.import_edition(_marked_up(spark, sf_dir), "ed_a").select("book", "chapter", "verse_start", "text")
+
+
+def _marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edition rendered as marked-up files, a book each; books take items in turn, in further chapters from the second turn on."""
     refs = dataset(spark, sf_dir).references.filter("pos = 0")
     at = (F.floor(F.col("item_id") / 20) % len(usfm.BOOKS)).cast("int")
     refs = refs.withColumns({"book": F.get(F.array(*(F.lit(n) for _, n in usfm.BOOKS)), at), "chapter": (F.col("chapter") + 2 * F.floor(F.col("item_id") / (20 * len(usfm.BOOKS)))).cast("int")})
     refs = refs.withColumn("code", F.get(F.array(*(F.lit(c) for c, _ in usfm.BOOKS)), at))
-    files = usfm.render(refs, F.col("code"))
-    return usfm.import_edition(files, "ed_a").select("book", "chapter", "verse_start", "text")
+    return usfm.render(refs, F.col("code"))
 
 
 @query("""SELECT user_id AS run, count(*) FILTER (WHERE a AND b) AS known_usage_responses, coalesce(sum(CASE WHEN a AND b THEN event_id END), 0)::BIGINT AS input_tokens, coalesce(sum(CASE WHEN a AND b THEN floor(abs(value)) END), 0)::BIGINT AS output_tokens,
@@ -671,3 +676,11 @@ def saved_session_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     tried = given.filter((u % 6 == 4) | hidden).select("session", "place", "case_id", F.when(F.col("place") == 0, "accepted").otherwise("started").alias("state"), F.lit("d").alias("request_sha256"), F.lit("d").alias("response_sha256"))
     return trials.progress_violations(sessions_, responses, plan, tried)
+
+
+@query(rf"""SELECT 'ed_a' AS translation, '2000' AS edition, count(*) AS reference_count, sha256(string_agg(to_json({{'translation': 'ed_a', 'reference': {{'book': book, 'chapter': chapter, 'verse_start': verse_start}}, 'text': text}})::VARCHAR || chr(10), '' ORDER BY k, chapter, verse_start)) AS corpus_sha256
+FROM (SELECT (item_id // 20 % {len(usfm.BOOKS)})::INT AS k, {_BOOKS}[(item_id // 20 % {len(usfm.BOOKS)})::INT + 1] AS book, (chapter + 2 * (item_id // {20 * len(usfm.BOOKS)}))::INT AS chapter, verse_start, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM refs WHERE pos = 0)""")
+def corpus_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lock of an edition's import, but for the digests of the files, which no SQL has."""
+    files = _marked_up(spark, sf_dir)
+    return usfm.lock(files, usfm.import_edition(files, "ed_a"), "ed_a", "2000", "https://example.org/s").select("translation", "edition", "reference_count", "corpus_sha256")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schemas import CASE, CATALOG, REFERENCE_RECORD
+
 
 def schema_of(ddl: str | T.StructType) -> T.StructType:
     return T._parse_datatype_string(ddl) if isinstance(ddl, str) else ddl
@@ -27,9 +29,11 @@ def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """
     out = None
     for k, p in enumerate(paths):
-        one = spark.read.text(p, wholetext=True).select(F.lit(k).alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
+        # Blank lines go before lines become rows: Spark may look at a filter of the caller's, and so parse, before ours.
+        numbered = F.transform(F.split("value", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), F.regexp_replace(x, "\r$", "").alias("line")))
+        one = spark.read.text(p, wholetext=True).select(F.lit(k).alias("file"), F.inline(F.filter(numbered, lambda x: F.trim(x["line"]) != "")))
         out = one if out is None else out.unionByName(one)
-    return out.select("file", (F.col("at") + 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line")).filter("trim(line) <> ''")
+    return out
 
 
 def unknown_keys(lines: DataFrame, schema: T.StructType) -> DataFrame:
@@ -80,3 +84,12 @@ def write_text(text: str, path: str) -> None:
     part = target.with_name(f".{target.name}.part")
     part.write_text(text, encoding="utf-8")
     part.replace(target)
+
+
+def load_dataset(spark: SparkSession, catalog: str, cases: str | list[str], references: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Editions, cases and references of a dataset's three files, with references' fields as columns and their place in the files (`ord`)."""
+    editions = read_json(spark, catalog, CATALOG).select(F.posexplode("translations").alias("ord", "t")).select("t.*", "ord")
+    flat = lambda df: df.select("*", "reference.*").drop("reference")
+    numbered = lambda df: df.withColumn("ord", F.col("_ord.file").cast("long") * 2**40 + F.col("_ord.line_no")).drop("_ord")
+    own = numbered(flat(require_rows(read_jsonl(spark, cases, CASE), "cases"))).fillna("canonical", ["prompt_variant"])
+    return editions, own, numbered(flat(require_rows(read_jsonl(spark, references, REFERENCE_RECORD), "references")))

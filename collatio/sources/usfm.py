@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
@@ -10,9 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.digests import file_set_digest
+from ..functions.digests import file_set_digest, ordered_digest, record_json
 from ..functions.text import ref_label, trim_unicode
 
+#: The importer's version, as locks have it.
+IMPORTER = "1"
 #: Codes and names of books in canonical order.
 BOOKS = (
     ("GEN", "Genesis"), ("EXO", "Exodus"), ("LEV", "Leviticus"), ("NUM", "Numbers"), ("DEU", "Deuteronomy"), ("JOS", "Joshua"), ("JDG", "Judges"), ("RUT", "Ruth"),
@@ -26,6 +29,7 @@ BOOKS = (
 )
 #: Markers of lines that do not continue a verse.
 HEADINGS = ("id", "ide", "h", "toc1", "toc2", "toc3", "mt", "mt1", "mt2", "s", "s1", "s2", "s3", "r", "d", "cl", "rem")
+#: Fixed value: a verse's marker and number.
 VERSE = r"\\v\s+([0-9]+(?:-[0-9]+)?[a-z]?)\s*"
 
 
@@ -74,7 +78,7 @@ def parse(files: DataFrame, edition: str) -> DataFrame:
     lines = lines.withColumn("line", trim_unicode(F.regexp_replace("raw", "^﻿+", "")))
     is_id, is_chapter = F.col("line").startswith("\\id "), F.col("line").startswith("\\c ")
     marked = ~is_id & ~is_chapter
-    first_word = lambda c, n: F.get(F.filter(F.split(F.substring(c, n, 1_000_000), r"\s+"), lambda x: x != ""), F.lit(0))
+    first_word = lambda c, n: F.get(F.filter(F.split(c.substr(F.lit(n), F.length(c)), r"\s+"), lambda x: x != ""), F.lit(0))
     lines = lines.withColumns(
         {
             "code": F.when(is_id, F.upper(first_word(F.col("line"), 5))),
@@ -119,10 +123,17 @@ def import_edition(files: DataFrame, edition: str) -> DataFrame:
     return rows.withColumns({"book_order": sort[0], "ref_label": ref_label(*(F.col(c) for c in ("book", "chapter", "verse_start", "verse_end")))})
 
 
-def lock(files: DataFrame, verses: DataFrame, edition: str) -> DataFrame:
-    """One row: the digest of the source files, how many verses they gave, and each file's digest and size."""
+def lock(files: DataFrame, verses: DataFrame, edition: str, edition_text: str = "", source_url: str = "", archive: bytes | None = None) -> DataFrame:
+    """One row, as it stands in a lock file: the digest of the source (of `archive`, else of the set of files), each file's digest and
+    size, how many references `verses` (of `import_edition`) are, and the digest of these as JSON lines in canonical order."""
     artifacts = files.agg(F.array_sort(F.collect_list(F.struct("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("decimal(20,0)").alias("bytes")))).alias("artifacts"))
-    return file_set_digest(files).withColumnRenamed("digest", "source_sha256").crossJoin(artifacts).crossJoin(verses.agg(F.count(F.lit(1)).alias("reference_count"))).withColumn("translation", F.lit(edition))
+    record = record_json(translation=F.lit(edition), reference=F.struct("book", "chapter", "verse_start", "verse_end"), text=F.col("text"))
+    corpus = ordered_digest(verses, record, F.struct("book_order", "chapter", "verse_start", F.coalesce("verse_end", F.lit(0))), lines=True).withColumnRenamed("digest", "corpus_sha256")
+    source = file_set_digest(files).withColumnRenamed("digest", "source_sha256")
+    if archive is not None:
+        source = source.withColumn("source_sha256", F.lit(hashlib.sha256(archive).hexdigest()))
+    rows = source.crossJoin(artifacts).crossJoin(verses.agg(F.count(F.lit(1)).alias("reference_count"))).crossJoin(corpus)  # single rows
+    return rows.select(F.lit(1).alias("schema_version"), F.lit(edition).alias("translation"), F.lit(edition_text).alias("edition"), F.lit(source_url).alias("source_url"), "source_sha256", F.lit(IMPORTER).alias("importer_version"), "artifacts", "reference_count", "corpus_sha256")
 
 
 def render(refs: DataFrame, codes: Column) -> DataFrame:

@@ -212,7 +212,7 @@ def test_usfm(spark, tmp_path):
         z.writestr("readme", "no")
     packed = usfm.read_zip(spark, str(tmp_path / "z.zip"))
     assert read(packed) == expected
-    assert usfm.lock(packed, usfm.parse(packed, "e"), "e").first().reference_count == 5
+    assert usfm.lock(packed, usfm.import_edition(packed, "e"), "e").first().reference_count == 5
     early = spark.createDataFrame([("a.usfm", b"\\id GEN\n\\v 1 early\n")], "path string, content binary")
     with pytest.raises(Exception, match="before a chapter"):
         usfm.parse(early, "e").collect()

@@ -26,7 +26,7 @@ def study(spark):
 
 def test_digests_as_json_gives_them(study):
     cases, refs, editions, responses, _ = study
-    rows = [json.dumps({"case_id": r.case_id, "translation": r.translation, "reference": {"book": r.book, "chapter": r.chapter, "verse_start": r.verse_start, "verse_end": r.verse_end}, "stratum": r.stratum, "prompt_variant": r.prompt_variant}, separators=(",", ":"), ensure_ascii=False) for r in cases.orderBy("ord").collect()]
+    rows = [json.dumps({"case_id": r.case_id, "translation": r.translation, "reference": {"book": r.book, "chapter": r.chapter, "verse_start": r.verse_start}, "stratum": r.stratum, "prompt_variant": r.prompt_variant}, separators=(",", ":"), ensure_ascii=False) for r in cases.orderBy("ord").collect()]
     found = runs.dataset_digests(cases, refs, editions).first()
     assert found.cases_sha256 == hashlib.sha256(f"[{','.join(rows)}]".encode()).hexdigest()
     by_run = {r.run_id: r.responses_sha256 for r in runs.response_digests(responses).collect()}
@@ -66,15 +66,15 @@ def test_a_valid_study(study, tmp_path):
         export.study_page([bad])
 
 
-def test_faults_stop_the_analysis(study, spark):
+def test_faults_stop_the_analysis(study):
     cases, refs, editions, responses, configs = study
-    manifests = runs.make_manifests(configs, cases, refs, editions, responses, "synthetic_fixture")
-    with pytest.raises(ValueError, match="incomplete"):
-        runs.analyze(cases, refs, editions, manifests, responses.filter("run_id <> 'a-0'"), 100)
+    manifests = runs.make_manifests(configs, cases, refs, editions, responses, "synthetic_fixture").cache()
     with pytest.raises(ValueError, match="resamples"):
         runs.analyze(cases, refs, editions, manifests, responses, 10)
-    with pytest.raises(ValueError, match="artifacts"):
-        runs.analyze(cases.withColumn("stratum", F.lit("random")), refs, editions, manifests, responses, 100)
+    with pytest.raises(ValueError, match="incomplete"):
+        runs.analyze(cases, refs, editions, manifests, responses.filter("run_id <> 'a-0'"), 100)
+    changed = cases.withColumn("stratum", F.lit("random"))
+    assert {(r.run_id, r.rule) for r in runs.manifest_violations(manifests, responses, changed, refs, editions).collect()} == {(f"{m}-{k}", "digest") for m in "ab" for k in range(3)}
 
 
 def test_scoring_rejects(study):
@@ -86,13 +86,13 @@ def test_scoring_rejects(study):
     assert runs.score_all(responses, cases, refs).count() == responses.count()
 
 
-def test_settings_without_a_temperature_are_not_compared(study):
-    cases, refs, editions, responses, configs = study
-    bare = responses.withColumn("temperature", F.lit(None).cast("float"))
-    manifests = runs.make_manifests(configs.withColumn("temperature", F.lit(None).cast("float")), cases, refs, editions, bare, "synthetic_fixture")
-    assert all("/ synthetic-" in r.identity for r in runs.identities(manifests, bare).collect())
-    found = runs.analyze(cases, refs, editions, manifests, bare, 100).comparisons.first()
-    assert found.reason == "effective sampling settings are unknown" and found.estimate is None
+def test_settings_without_a_temperature_are_not_compared(spark):
+    from collatio.operators import study
+
+    models = spark.createDataFrame([("a", None, "none", 9), ("b", 0.5, "none", 9), ("c", 0.5, "none", 9), ("d", 0.5, "high", 9)], "model_key string, temperature float, reasoning_effort string, max_output_tokens int")
+    found = {(r.left, r.right): r.reason for r in study.model_pairs(models).collect()}
+    assert found[("a", "b")] == "effective sampling settings are unknown"
+    assert found[("b", "c")] is None and found[("b", "d")] == "different requested generation settings"
 
 
 def test_large_strata_draw_alike(spark):
@@ -108,3 +108,81 @@ def test_where_trials_go_on(spark):
     assert {r.session: (r.next, r.broken) for r in trials.resume_place(ledger, plan).collect()} == {"x": (2, False), "y": (1, True), "z": (0, False)}
     given = spark.createDataFrame([("x", "ab", (1, 2, 3)), ("x", None, None)], "session string, output string, execution struct<input_tokens:int,output_tokens:int,accounted_nanoeur:int>")
     assert [(r.answers, r.chars, int(r.accounted_nanoeur)) for r in trials.trial_totals(given).collect()] == [(2, 2, 3)]
+
+
+def test_loaded_datasets_and_sinks(spark, tmp_path):
+    from collatio.functions import text
+    from collatio.operators import report, sampling, selection, validation
+    from collatio.sources import records
+
+    edition = {"id": "e", "name": "E", "abbreviation": "E", "edition": "1", "license_kind": "public_domain", "license_url": "u", "source_url": "u", "redistribute_reference_text": True}
+    (tmp_path / "catalog.json").write_text(json.dumps({"schema_version": 1, "translations": [edition]}, indent=1))
+    ref = {"book": "B", "chapter": 1, "verse_start": 2}
+    (tmp_path / "cases.jsonl").write_text("\n" + json.dumps({"case_id": "c1", "translation": "e", "reference": ref, "stratum": "random"}) + "\n")
+    (tmp_path / "refs.jsonl").write_text(json.dumps({"translation": "e", "reference": ref, "text": "words"}) + "\n")
+    editions, cases, refs = records.load_dataset(spark, *(str(tmp_path / n) for n in ("catalog.json", "cases.jsonl", "refs.jsonl")))
+    assert validation.dataset_violations(cases, refs, editions).collect() == []
+    assert [(r.case_id, r.prompt_variant, r.verse_end, r.ord) for r in cases.collect()] == [("c1", "canonical", None, 2)]
+    (tmp_path / "none.jsonl").write_text("\n")
+    with pytest.raises(ValueError, match="no records"):
+        records.load_dataset(spark, str(tmp_path / "catalog.json"), str(tmp_path / "none.jsonl"), str(tmp_path / "refs.jsonl"))
+    rows = spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string")
+    records.write_jsonl(rows, str(tmp_path / "out"), ["k"])
+    assert [json.loads(x) for f in (tmp_path / "out").glob("part-*") for x in f.read_text().splitlines()] == [{"k": 1, "v": "a"}, {"k": 2, "v": "b"}]
+    records.write_csv(rows, str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 2
+    lines = spark.createDataFrame([('{"k":1,"x":2}',), ('{"k":1}',)], "line string")
+    assert [r.unknown for r in records.unknown_keys(lines, records.schema_of("k int")).collect()] == [["x"]]
+    assert rows.select(digests.json_digest(F.struct("k"))).first()[0] == hashlib.sha256(b'{"k":2}').hexdigest()
+    assert len(spark.range(1).select(text.truncate_error(F.repeat(F.lit("x"), 3000))).first()[0]) == 1000
+    classes = spark.createDataFrame([("m", "empty"), ("m", "empty"), ("m", "partial")], "model string, classification string")
+    assert report.class_map(classes, "model").first().classifications == {"empty": 2, "partial": 1}
+    picked = spark.createDataFrame([("B 1:2",), ("B 9:9",)], "ref_label string")
+    assert [r.text for r in sampling.selected_records(refs, picked).collect()] == ["words"]
+    assert selection.first_cases(cases, 1).count() == 1 and selection.first_cases(cases, 0).count() == 0
+
+
+def test_locks_bind_the_corpus(spark):
+    from collatio.sources import usfm
+
+    files = spark.createDataFrame([("GEN.usfm", b"\\id GEN x\n\\c 1\n\\v 1 In the\n\\v 2-3 beginning.\n")], "path string, content binary")
+    found = usfm.lock(files, usfm.import_edition(files, "e"), "e", "first", "https://example.org").first()
+    lines = [{"translation": "e", "reference": {"book": "Genesis", "chapter": 1, "verse_start": 1}, "text": "In the"}, {"translation": "e", "reference": {"book": "Genesis", "chapter": 1, "verse_start": 2, "verse_end": 3}, "text": "beginning."}]
+    assert found.corpus_sha256 == hashlib.sha256("".join(json.dumps(x, separators=(",", ":")) + "\n" for x in lines).encode()).hexdigest()
+    assert (found.reference_count, found.edition, found.importer_version) == (2, "first", usfm.IMPORTER)
+
+
+def test_null_answers_alike_in_batch_and_stream(spark, tmp_path):
+    from collatio.operators import sessions
+    from collatio.streaming.sessions import stream_answers
+
+    log = spark.createDataFrame([("s", "i", 1, None), ("s", "i", 2, None), ("s", "i", 3, "x"), ("s", "j", 4, ""), ("s", "j", 5, None), ("s", "k", 6, "y" * 20_000), ("s", "k", 7, "z")], "session string, item string, seq long, answer string")
+    batch = {r.seq: r.outcome for r in sessions.answers(log).collect()}
+    assert batch == {1: "accepted", 2: "repeated", 3: "conflict", 4: "accepted", 5: "repeated", 6: "too_long", 7: "accepted"}
+    log.coalesce(1).write.parquet(str(tmp_path / "log"))
+    stream = stream_answers(spark.readStream.schema(log.schema).parquet(str(tmp_path / "log")))
+    query = stream.writeStream.format("memory").queryName("null_answers").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.seq: r.outcome for r in spark.table("null_answers").collect()} == batch
+
+
+def test_the_first_of_repeated_rows_counts(spark):
+    """Where a run gives a case twice, the first by place in the file counts, not by its text."""
+    from collatio.operators import report
+
+    rows = [("p", "m", "m", "c", "r1", 1, "b", True), ("p", "m", "m", "c", "r1", 2, "a", False), ("p", "m", "m", "c", "r2", 3, "b", True)]
+    scores = spark.createDataFrame([(*r, hashlib.sha256(r[6].encode()).hexdigest(), "partial") for r in rows], "provider string, model string, resolved_model string, case_id string, run_id string, line int, output string, exact_text boolean, response_sha256 string, classification string")
+    found = report.stability(scores).first()
+    assert (found.repeated_cases, found.mean_output_consistency, found.mean_exact_recall) == (1, 1.0, 1.0)
+
+
+def test_pilot_gate(study, spark):
+    from collatio.operators import pilot
+
+    cases, _, editions, _, _ = study
+    pilot.gate(cases, editions, 2)
+    for odd, count, own in ((cases, 1, editions), (cases, 2, editions.withColumn("license_kind", F.lit("licensed_private"))), (cases.withColumn("case_id", F.lit("BQ-HID-1")), 2, editions)):
+        with pytest.raises(ValueError, match="pilot needs"):
+            pilot.gate(odd, own, count)
+    with pytest.raises(ValueError, match="not enough"):
+        pilot.gate(cases, editions, 7)
