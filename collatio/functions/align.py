@@ -11,8 +11,19 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
+def shared_end(left: list, right: list) -> int:
+    """Equal words at the end of both, which every path here matches."""
+    n = 0
+    while n < min(len(left), len(right)) and left[-1 - n] == right[-1 - n]:
+        n += 1
+    return n
+
+
 def forward(expected: list, actual: list) -> tuple[int, int, int, int]:
     """(insertions, deletions, substitutions, mask of matched output words)."""
+    if same := shared_end(expected, actual):
+        n, d, s, mask = forward(expected[:-same], actual[:-same])
+        return n, d, s, mask | ((1 << same) - 1) << (len(actual) - same)
     row = [(j, j, 0, 0, 0) for j in range(len(actual) + 1)]  # cost, insertions, deletions, substitutions, matches
     for i, want in enumerate(expected, 1):
         above, row = row, [(i, 0, i, 0, 0)]
@@ -67,6 +78,9 @@ def align(expected: pd.Series, actual: pd.Series, others: pd.Series) -> pd.DataF
 def difference(expected: str, output: str) -> str:
     """White-space tokens with `[-gone]`, `[+new]`; equal tokens at the path's end always match."""
     left, right = expected.split(), output.split()
+    same = shared_end(left, right)
+    tail = left[len(left) - same :]
+    left, right = left[: len(left) - same], right[: len(right) - same]
     cost = [list(range(len(right) + 1))]
     for i, a in enumerate(left, 1):
         row = [i]
@@ -87,7 +101,7 @@ def difference(expected: str, output: str) -> str:
         else:
             j -= 1
             out.append(f"[+{right[j]}]")
-    return " ".join(reversed(out))
+    return " ".join([*reversed(out), *tail])
 
 
 @pandas_udf(T.StringType())
