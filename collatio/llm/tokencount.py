@@ -46,8 +46,8 @@ class Counter:
             cls.held[path] = cls(path, pattern)
         return cls.held[path]
 
-    def leaves(self, text: str) -> tuple[list[int], list[int]]:
-        """Characters and tokens of each leaf of a text."""
+    def leaves(self, text: str, wanted: int = 0) -> tuple[list[int], list[int]]:
+        """Characters and tokens of each leaf of a text; in `wanted` leaves, where they would have from half to twice the usual segments."""
         segments, known = _SEGMENT.findall(text), self.known
         if len(known) > MEMORY:
             known.clear()
@@ -55,7 +55,10 @@ class Counter:
             known[s] = len(self.encoding.encode_ordinary(s))
         if not segments:
             return [], []
-        starts = np.arange(0, len(segments), LEAF)
+        if wanted and wanted * LEAF <= 2 * len(segments) <= 4 * wanted * LEAF:
+            starts = np.arange(wanted) * len(segments) // wanted
+        else:
+            starts = np.arange(0, len(segments), LEAF)
         chars = np.add.reduceat(np.fromiter(map(len, segments), np.int64, len(segments)), starts)
         tokens = np.add.reduceat(np.fromiter(map(known.__getitem__, segments), np.int64, len(segments)), starts)
         return chars.tolist(), tokens.tolist()
@@ -77,6 +80,19 @@ class Tree:
                 levels.append([sum(below[k : k + 2]) for k in range(0, len(below), 2)])
         return self
 
+    @classmethod
+    def opened(cls, leaves: int, chars: np.ndarray, tokens: np.ndarray) -> "Tree":
+        """A tree from its nodes, level after level, as `nodes` gives them."""
+        sizes = [leaves]
+        while sizes[-1] > 1:
+            sizes.append(-(-sizes[-1] // 2))
+        cut = np.cumsum(sizes)[:-1]
+        return cls(*([x.tolist() for x in np.split(values, cut)] for values in (chars, tokens)))
+
+    def nodes(self) -> tuple[int, list[int], list[int]]:
+        """How many leaves, and the nodes of both sums from the leaves up."""
+        return len(self.chars[0]), [x for level in self.chars for x in level], [x for level in self.tokens for x in level]
+
     @property
     def total(self) -> int:
         return sum(self.tokens[-1])
@@ -147,25 +163,31 @@ def edit(text: str, tree: Tree, edits: list[tuple[int, int, str]], counter: Coun
                 first -= 1
                 begin -= tree.chars[0][first]
                 new = text[begin : begin + tree.chars[0][first]] + new
-        tree.replace(first, end, *counter.leaves(new))
+        tree.replace(first, end, *counter.leaves(new, end - first))
         text = text[:begin] + new + text[till:]
         again += len(new)
     return text, again
 
 
-_STATE = "text string, leaf_chars array<int>, leaf_tokens array<int>, n_tokens long"
+_STATE = "text string, leaves int, node_chars array<int>, node_tokens array<int>, n_tokens long"
+_TYPES = (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64())
 
 
 def counted(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's state: `text`, its leaves' characters and tokens, and `n_tokens`. Null counts as empty."""
+    """Each document's state: `text`, its tree (how many leaves, and the characters and tokens of all nodes, level after level) and `n_tokens`.
+
+    A null text counts as empty: no leaves, no tokens. Repeated rows have a state each, an empty table gives no
+    rows, and texts of any length are counted whole. Other columns are left out, whatever their names.
+    """
     out = T.StructType([docs.schema[id_col], *T._parse_datatype_string(_STATE).fields])
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.of(tokenizer, pattern)
         for batch in batches(rows):
             texts = [t.decode("utf-8", "replace") for t in utf8(batch.column(1))]
-            found = [counter.leaves(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.int32())), pa.array([sum(x[1]) for x in found], pa.int64())], names=out.names)
+            found = [Tree.of(*counter.leaves(t)) for t in texts]
+            columns = zip(*((t, *tree.nodes(), tree.total) for t, tree in zip(texts, found, strict=True)), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, _TYPES, strict=True))], names=out.names)
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(count, out)
@@ -173,23 +195,29 @@ def counted(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id
 
 def edited(state: DataFrame, edits: Column, tokenizer: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """The state after `edits` (array of start, end, value: sorted, not overlapping, in characters), with
-    `n_before`, `n_edits` and `n_reencoded` (characters encoded again)."""
+    `n_before`, `n_edits` and `n_reencoded` (characters encoded again).
+
+    Null or no edits leave a state as it is: such rows pass without being opened. Repeated rows are edited
+    each, an empty table gives no rows. Further columns of `state` are left out, whatever their names.
+    """
     out = T.StructType([state.schema[id_col], *T._parse_datatype_string(f"{_STATE}, n_before long, n_edits long, n_reencoded long").fields])
 
     def apply(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.of(tokenizer, pattern)
         for batch in batches(rows):
-            found = []
-            for text, chars, tokens, n, own in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                again, own = 0, own or []
-                if own:
-                    tree = Tree.of(chars, tokens)
-                    text, again = edit(text, tree, [(e["start"], e["end"], e["value"]) for e in own], counter)
-                    chars, tokens, total = tree.chars[0], tree.tokens[0], tree.total
-                else:
-                    total = n
-                found.append((text, chars, tokens, total, n, len(own), again))
-            types = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int64()] * 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*found, strict=True), types, strict=True))], names=out.names)
-
-    return state.select(id_col, "text", "leaf_chars", "leaf_tokens", "n_tokens", edits.alias("edits")).mapInArrow(apply, out)
+            n_edits = batch.column(6).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            rows_, found = np.flatnonzero(n_edits), []
+            again = np.zeros(batch.num_rows, np.int64)
+            for r in rows_.tolist():
+                text, leaves, chars, tokens, _, own = (batch.column(c)[r] for c in range(1, 7))
+                tree = Tree.opened(leaves.as_py(), chars.values.to_numpy(), tokens.values.to_numpy())
+                text, again[r] = edit(text.as_py(), tree, [(e["start"], e["end"], e["value"]) for e in own.as_py()], counter)
+                found.append((text, *tree.nodes(), tree.total))
+            place = np.arange(batch.num_rows)
+            place[rows_] = batch.num_rows + np.arange(len(rows_))
+            new = list(zip(*found, strict=True)) or [()] * len(_TYPES)
+            columns = [pa.concat_arrays([batch.column(k + 1), pa.array(x, t)]).take(pa.array(place)) for k, (x, t) in enumerate(zip(new, _TYPES, strict=True))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(5), pa.array(n_edits), pa.array(again)], names=out.names)
+
+    small_batches(state.sparkSession)
+    return state.select(id_col, "text", "leaves", "node_chars", "node_tokens", "n_tokens", edits.alias("edits")).mapInArrow(apply, out)
