@@ -106,7 +106,7 @@ def select_partition(config: SamplingConfig, universe: DataFrame, references: Da
         picked.extend((r[0], r[1]) for r in chosen.select("ref_label", "stratum").collect())
 
     def step(pool: DataFrame, order: list[Column], n: int, purpose: str, stratum: str) -> None:
-        open_ = pool.join(left, "ref_label", "left_semi").join(F.broadcast(frame()), "ref_label", "left_anti")
+        open_ = pool.join(left, "ref_label", "left_semi").join(frame(), "ref_label", "left_anti")
         if strict and config.schema_version == 2:
             require_pool(open_, n, stratum)
         add(_pooled(open_, order, n, key(purpose), config.schema_version).withColumn("stratum", F.lit(stratum)))
@@ -120,7 +120,7 @@ def select_partition(config: SamplingConfig, universe: DataFrame, references: Da
     lengths = mean_length(own)
     step(lengths, [F.asc("mean_length"), key("length")], config.short_references, "length-pool", "short_verse")
     step(lengths, [F.desc("mean_length"), key("length").desc()], config.long_references, "length-pool", "long_verse")
-    rest = left.join(F.broadcast(frame()), "ref_label", "left_anti")
+    rest = left.join(frame(), "ref_label", "left_anti")
     add(_take(rest, [key("random")], config.total_references - len(picked)).withColumn("stratum", F.lit("random")))
     return frame()
 
@@ -140,7 +140,7 @@ PREFIX = "BQ"
 
 def build_cases(config: SamplingConfig, picked: DataFrame, editions: DataFrame, prefix: str = PREFIX) -> DataFrame:
     """A case for each pick and edition (`translation`, `pos`), in order of label and edition."""
-    rows = picked.crossJoin(F.broadcast(editions.select("translation", "pos")))  # editions are a handful
+    rows = picked.crossJoin(editions.select("translation", "pos"))  # editions are a handful
     digest = F.substring(F.sha2(F.concat_ws("|", F.lit(config.release_id), "split", "translation", "ref_label"), 256), 1, 16)
     return rows.select(F.upper(F.concat(F.lit(prefix), F.lit("-"), "split", F.lit("-"), digest)).alias("case_id"), "split", "translation", "pos", "ref_label", "stratum", F.lit("canonical").alias("prompt_variant"))
 

@@ -434,7 +434,7 @@ def overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT run_id, count(*) FILTER (WHERE n IS NULL) AS missing, count(*) FILTER (WHERE e IS NULL) AS unexpected, count(*) FILTER (WHERE n > 1) AS repeated FROM (SELECT run_id, case_id, 1 AS e FROM (SELECT DISTINCT run_id FROM responses) CROSS JOIN (SELECT case_id FROM cases WHERE ord <> 2)) FULL JOIN (SELECT run_id, case_id, count(*) AS n FROM (SELECT run_id, case_id FROM responses WHERE ord % 10 <> 1 UNION ALL SELECT run_id, case_id FROM responses WHERE ord % 10 = 5) GROUP BY 1, 2) USING (run_id, case_id) GROUP BY 1")
 def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dataset(spark, sf_dir)
-    expected = d.responses.select("run_id").distinct().crossJoin(F.broadcast(d.cases.filter("ord <> 2").select("case_id")))  # runs by cases: the design itself
+    expected = d.responses.select("run_id").distinct().crossJoin(d.cases.filter("ord <> 2").select("case_id"))  # runs by cases: the design itself
     seen = d.responses.filter("ord % 10 <> 1").unionByName(d.responses.filter("ord % 10 = 5"))
     return validation.coverage(expected, seen)
 
