@@ -49,3 +49,53 @@ def test_prose_that_mentions_boilerplate_stays(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string")
     found = {r.doc_id: r.text for r in pipeline.quality_rules(spark, docs, SF).collect()}
     assert found == {1: prose, 2: inside, 3: f"{prose}\n{inside}"}
+
+
+PROSE = "The mayor of the old town said on Tuesday, after a long meeting, that a new bridge is to be built over the river by next spring."
+ODD = [
+    (None, PROSE, "en", None, 9), (1, None, None, "a", None), (2, "", "en", "a", 0), (3, PROSE, "en", "b", 1), (3, PROSE, "en", "b", 1), (4, f"{PROSE}\n\nIt was late.", None, None, None),
+    (5, " ".join(f"word{k}, and" for k in range(30_000)), "en", "b", 5), (6, f"{PROSE} password = hunter22", "en", "c", 1), (None, None, None, None, None),
+]
+CLASHES = ("__id", "__h", "__words", "__lines", "__q_kept", "__key", "key", "id", "h", "words", "good", "kept", "best", "spans", "items", "n_words", "piece", "fp", "__c0")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(*r, *(f"{n}-{k}" for n in CLASHES)) for k, r in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in CLASHES))
+
+
+@pytest.mark.parametrize("stage", [f for _, f in pipeline.STAGES[:4]], ids=[n for n, _ in pipeline.STAGES[:4]])
+def test_stages_on_odd_rows(spark, odd, stage, tmp_path):
+    out = stage(spark, odd, SF)
+    assert out.columns == odd.columns
+    got = out.collect()
+    by = {r["key"]: r for r in got}
+    before = {f"key-{k}": r for k, r in enumerate(ODD)}
+    assert set(by) <= set(before)
+    for key, r in by.items():  # all columns of a row stay together
+        assert all(r[n] == key.replace("key", n) for n in CLASHES)
+        assert (r.doc_id, r.lang, r.source) == (before[key][0], *before[key][2:4])
+    name = stage.__name__
+    texts = sorted(((r.doc_id, r.text) for r in got), key=str)
+    if name == "quality_rules":
+        assert texts == sorted(((i, t) for i, t, *_ in ODD if t), key=str)
+    elif name == "near_dedup":
+        prints = [brute.simhash(t) for _, t, *_ in ODD]
+        assert len(got) == len(set(brute.components(list(range(len(ODD))), prints)))
+        assert {(3, PROSE), (1, None)} <= set(texts)  # null ids come last in their groups
+    elif name == "decontaminate":
+        assert texts == sorted(((i, t) for i, t, *_ in ODD), key=str)
+    else:
+        assert len(got) == len(ODD)
+        assert (6, f"{PROSE} [secret]") in texts and (1, None) in texts
+    assert stage(spark, odd.limit(0), SF).collect() == []
+
+
+def test_packing_odd_rows(spark, odd, tokenizer_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    got = pipeline.pack(spark, odd, SF).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == sorted(((i, *p) for i, t, *_ in ODD for p in brute.pieces(t, tokenizer)), key=str)
+    assert pipeline.pack(spark, odd.limit(0), SF).collect() == []
