@@ -163,7 +163,7 @@ def links(fps: DataFrame, most: int = 4, prints: int = BUCKET_PRINTS, variants:
         u, v = met(own, part["bucket"][0].as_py(), bits, columns, flips, most)
         return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
-    dealt = fps.mapInArrow(deal, "bucket long, fps binary").repartition(1 << bits, "bucket")
+    dealt = fps.mapInArrow(deal, "bucket long, fps binary").repartition(min(1 << bits, 1 + n * flips_all // variants), "bucket")
     return dealt.groupBy("bucket").applyInArrow(meet, "u long, v long").distinct()
 
 

@@ -173,7 +173,8 @@ def test_spans_of_all_kinds(spark):
     pem = lambda k: f"-----BEGIN RSA PRIVATE KEY-----\n{k * 16}\n{k * 8}==\n-----END RSA PRIVATE KEY-----"
     r = random.Random(8)
     parts = ["plain words ", "é ", "redis://:passwort@host ", "xx postgres+psycopg2://user:" + "p" * 90 + "@db ", "1http://a:bcd@e ", "https://example.org/a:b@c ", "ghp_" + "aB3" * 13 + " ", "token = abcdef99 ", "AKIA" + "A1" * 9 + " ", "0123456789abcdef" * 2 + "\n", pem("Ab1c") + " ", pem("Zz9y") + "\n", pem("Qq7t"), "mail a@b "]
-    rows = [(k, "".join(r.choice(parts) for _ in range(n)), r.choice("abcdef")) for k, n in enumerate([*[r.randint(0, 12) for _ in range(30)], 700])]
+    own = lambda k: f" ghp_{k:04}" + "q" * 36 + f" redis://:pw{k}xyz@host {pem(f'U{k:02}x')}"
+    rows = [(k, "".join(r.choice(parts) for _ in range(n)) + own(k), r.choice("abcdef")) for k, n in enumerate([*[r.randint(0, 12) for _ in range(30)], 700])]
     found, owners = {}, {}
     for k, text, owner in rows:
         for kind, (name, pattern) in enumerate(secrets.PATTERNS):
@@ -317,7 +318,7 @@ def test_links_at_four_bits(spark):
     fps = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long").repartition(3)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     # As usual; in many slices of few buckets; and in more buckets than any fingerprint has copies of.
-    for limits in ({}, {"variants": 2_000}, {"prints": 100, "variants": 2_000}):
+    for limits in ({}, {"variants": 2_000}, {"prints": 250, "variants": 60_000}):
         least = {x.node: x.root for x in simhash.components(simhash.links(fps, **limits)).collect()}
         assert [least.get(s, s) for s in signed] == brute.components(signed, prints)
 
