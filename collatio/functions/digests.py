@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,8 +31,8 @@ def json_digest(value: Column, keep_nulls: bool = False) -> Column:
     return sha256(F.to_json(value, {"ignoreNullFields": str(not keep_nulls).lower()}))
 
 
-def _running(rows: Iterator[pa.RecordBatch], begin: bytes, between: bytes, end: bytes) -> Iterator[pa.RecordBatch]:
-    """Digests of the last column's values, a run of equal keys (the other columns) at a time."""
+def _running(rows: Iterator[pa.RecordBatch], marks: Callable[[tuple], tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Digests of the last column's values, a run of equal keys (the other columns) at a time; `marks` gives what stands before, between and behind the values of a key."""
     names, key, digest, first = None, None, None, True
     for batch in rows:
         names = names or [*batch.schema.names[:-1], "digest"]
@@ -42,6 +42,7 @@ def _running(rows: Iterator[pa.RecordBatch], begin: bytes, between: bytes, end:
                 if digest is not None:
                     digest.update(end)
                     yield pa.RecordBatch.from_pylist([dict(zip(names, (*key, digest.hexdigest()), strict=True))], schema=schema)
+                begin, between, end = marks(own)
                 key, digest, first = own, hashlib.sha256(begin), True
                 schema = pa.schema([*(batch.schema.field(n) for n in names[:-1]), pa.field("digest", pa.string())])
             digest.update((b"" if first else between) + value)
@@ -51,21 +52,27 @@ def _running(rows: Iterator[pa.RecordBatch], begin: bytes, between: bytes, end:
         yield pa.RecordBatch.from_pylist([dict(zip(names, (*key, digest.hexdigest()), strict=True))], schema=schema)
 
 
-def ordered_digest(rows: DataFrame, value: Column, order: Column, *keys: str, lines: bool = False, around: tuple[str, str] = ("", "")) -> DataFrame:
+def ordered_digest(rows: DataFrame, value: Column, order: Column, *keys: str, lines: bool = False, around: tuple[str, str] | dict[str, tuple[str, str]] = ("", "")) -> DataFrame:
     """`digest` (a row for each of `keys`; without keys one row, of no rows too): of a JSON array of JSON texts in order, or of them as lines;
-    `around` stands before and behind.
+    `around` stands before and behind; as a dictionary, it has them by the first key.
 
     Rows are sorted by Spark and hashed as they pass, so a task holds a batch. A digest of a file is one
     value over all its bytes in order, so the bytes of one meet in one task, as in any hash of a file.
     """
-    begin, between, end = (b"", b"\n", b"\n") if lines else ((around[0] + "[").encode(), b",", ("]" + around[1]).encode())
+
+    def marks(key: tuple) -> tuple[bytes, bytes, bytes]:
+        if lines:
+            return b"", b"\n", b"\n"
+        before, behind = around.get(key[0], ("", "")) if isinstance(around, dict) else around
+        return (before + "[").encode(), b",", ("]" + behind).encode()
+
     own = rows.select(*keys, order.alias("__o"), F.encode(value, "UTF-8").alias("__v"))
     own = own.repartition(*keys).sortWithinPartitions(*keys, "__o") if keys else own.orderBy("__o").coalesce(1)
     out = T.StructType([*(rows.schema[k] for k in keys), T.StructField("digest", T.StringType())])
-    found = own.drop("__o").mapInArrow(lambda batches: _running(batches, begin, between, end), out)
+    found = own.drop("__o").mapInArrow(lambda batches: _running(batches, marks), out)
     if keys:
         return found
-    nothing = hashlib.sha256(b"" if lines else begin + end).hexdigest()
+    nothing = hashlib.sha256(b"" if lines else b"".join(marks(())[::2])).hexdigest()
     return found.agg(F.coalesce(F.max("digest"), F.lit(nothing)).alias("digest"))
 
 
@@ -79,5 +86,5 @@ def file_set_digest(files: DataFrame) -> DataFrame:
     """Of `path` and `content` (binary): path NUL bytes NUL, in order of path; one row `digest`."""
     nul = F.unhex(F.lit("00"))
     own = files.orderBy("path").select(F.concat(F.encode("path", "UTF-8"), nul, F.col("content"), nul).alias("v")).coalesce(1)
-    found = own.mapInArrow(lambda batches: _running(batches, b"", b"", b""), "digest string")
+    found = own.mapInArrow(lambda batches: _running(batches, lambda key: (b"", b"", b"")), "digest string")
     return found.agg(F.coalesce(F.max("digest"), F.lit(hashlib.sha256(b"").hexdigest())).alias("digest"))

@@ -6,6 +6,7 @@ run, a model or a pair of models.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,20 +33,36 @@ def reference_struct() -> Column:
     return F.struct(*REFERENCE_FIELDS)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """`rows` fetched once and handed back as they are: for a row a run or a dataset, whose plans would stand several times in others."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def dataset_digests(cases: DataFrame, references: DataFrame, editions: DataFrame, case_order: str = "ord", reference_order: tuple[str, ...] = ("translation", *KEY), edition_order: str = "id") -> DataFrame:
-    """One row: the digests of cases, references, catalog and prompts, each as JSON in its order."""
+    """One row: the digests of cases, references, catalog and prompts, each as JSON in its order.
+
+    The four are one sorted stream by kind. It runs here, once, as its row stands in many plans.
+    """
     case = record_json(case_id=F.col("case_id"), translation=F.col("translation"), reference=reference_struct(), stratum=F.col("stratum"), prompt_variant=F.col("prompt_variant"))
     reference = record_json(translation=F.col("translation"), reference=reference_struct(), text=F.col("text"))
     edition = record_json(**{n: F.col(n) for n in ("id", "name", "abbreviation", "edition", "license_kind", "license_url", "source_url", "redistribute_reference_text")})
     asked = prompts(cases.drop("text", "ref_label"), editions, references)
-    parts = (
-        ordered_digest(cases, case, F.col(case_order)),
-        ordered_digest(references, reference, F.struct(*reference_order)),
-        ordered_digest(editions, edition, F.col(edition_order), around=('{"schema_version":1,"translations":', "}")),
-        ordered_digest(asked, json_text(F.col("prompt")), F.col(case_order)),
-    )
-    named = [p.select(F.col("digest").alias(n)) for p, n in zip(parts, DIGESTS, strict=True)]
-    return reduce(DataFrame.crossJoin, named)  # single rows
+    parts = ((cases, case, (case_order,)), (references, reference, reference_order), (editions, edition, (edition_order,)), (asked, json_text(F.col("prompt")), (case_order,)))
+    rows = [_placed(df, order).select(F.lit(n).alias("kind"), "__text", "__number", value.alias("value")) for n, (df, value, order) in zip(DIGESTS, parts, strict=True)]
+    around = {"catalog_sha256": ('{"schema_version":1,"translations":', "}")}
+    found = ordered_digest(reduce(DataFrame.unionByName, rows), F.col("value"), F.struct("__text", "__number"), "kind", around=around)
+    by_kind = {r["kind"]: r["digest"] for r in found.collect()}  # a row a kind
+    nothing = {n: hashlib.sha256("[]".join(around.get(n, ("", ""))).encode()).hexdigest() for n in DIGESTS}
+    return cases.sparkSession.createDataFrame([tuple(by_kind.get(n, nothing[n]) for n in DIGESTS)], ", ".join(f"{n} string" for n in DIGESTS))
+
+
+def _placed(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """`rows` with their order as two lists, of texts and of numbers behind them, so that unlike tables sort in one stream."""
+    kinds = dict(rows.dtypes)
+    texts, numbers = ([F.col(c) for c in order if (kinds[c] == "string") == text] for text in (True, False))
+    if [kinds[c] == "string" for c in order] != sorted((kinds[c] == "string" for c in order), reverse=True):
+        raise ValueError("an order has its texts before its numbers")
+    return rows.withColumns({"__text": F.array(*texts).cast("array<string>"), "__number": F.array(*(c.cast("long") for c in numbers)).cast("array<bigint>")})
 
 
 def response_digests(responses: DataFrame, order: str = "ord") -> DataFrame:
@@ -75,44 +92,47 @@ def make_manifests(configs: DataFrame, cases: DataFrame, references: DataFrame,
     ids = cases.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "case_id"))), lambda x: x["case_id"]).alias("expected_case_ids"))
     rows = configs.withColumns({"endpoint_sha256": sha256(F.col("endpoint")), "schema_version": F.lit(SCHEMA_VERSION), "engine_version": F.lit(ENGINE_VERSION), "track": F.lit(track), "evidence": F.lit(evidence)})
     rows = rows.join(response_digests(responses), ["provider", "model", "run_id"], "left").crossJoin(dataset_digests(cases, references, editions)).crossJoin(ids)  # single rows
-    return rows.select("schema_version", "engine_version", "run_id", "provider", "model", *SETTINGS, "endpoint_sha256", *DIGESTS, "responses_sha256", "expected_case_ids", "track", "evidence")
+    return settled(rows.select("schema_version", "engine_version", "run_id", "provider", "model", *SETTINGS, "endpoint_sha256", *DIGESTS, "responses_sha256", "expected_case_ids", "track", "evidence"))
 
 
 def manifest_violations(manifests: DataFrame, responses: DataFrame, cases: DataFrame, references: DataFrame, editions: DataFrame) -> DataFrame:
-    """Every rule that a run breaks: `run_id`, `rule`, `reason`. Responses belong to a run by provider, model and run."""
+    """Every rule that a run breaks: `run_id`, `rule`, `reason`. Responses belong to a run by provider, model and run.
+
+    Responses are grouped once, to a row a run with all that the rules ask; the rules are one list of it.
+    """
     run = ["provider", "model", "run_id"]
-    track = track_of(cases)
-    now = dataset_digests(cases, references, editions).select(*(F.col(n).alias(f"__{n}") for n in DIGESTS))
+    track, manifests = track_of(cases), settled(manifests)
+    now = dataset_digests(cases, references, editions).first()
+    expected = cases.select("case_id").distinct()
+    asked = expected.count()
+    declared = manifests.select(*run, F.explode("expected_case_ids").alias("case_id")).join(expected.withColumn("known", F.lit(True)), "case_id", "left")
+    said = declared.groupBy(*run).agg(F.count(F.lit(1)).alias("declared"), F.countDistinct("case_id").alias("distinct_declared"), F.countDistinct(F.when(F.col("known"), F.col("case_id"))).alias("known"))
+    given = {n: F.col(n) if n in responses.columns else F.lit(None) for n in (*SETTINGS[:2], "seed")}
+    wanted = manifests.select(*run, *(F.col(n).alias(f"m_{n}") for n in SETTINGS[:2]), F.lit(True).alias("in_manifest")).dropDuplicates(run)
+    differs = given["seed"].isNotNull() | ~reduce(Column.__and__, (given[n].eqNullSafe(F.col(f"m_{n}")) for n in SETTINGS[:2]))
+    rows = responses.join(wanted, run, "left").join(expected.withColumn("met", F.lit(True)), "case_id", "left")
+    seen = rows.groupBy(*run).agg(
+        F.count(F.lit(1)).alias("observed"), F.countDistinct("case_id").alias("distinct_observed"), F.countDistinct(F.when(F.col("met"), F.col("case_id"))).alias("met"),
+        F.bool_or(F.col("in_manifest") & differs).alias("differs"), F.bool_or(F.col("error").isNotNull() & (F.col("output") != "")).alias("both"),
+    )
     own = response_digests(responses).withColumnRenamed("responses_sha256", "__responses")
-    rows = manifests.join(own, run, "left").crossJoin(now)  # one row
-    changed = reduce(Column.__or__, (F.col(n) != F.col(f"__{n}") for n in DIGESTS)) | ~F.col("responses_sha256").eqNullSafe(F.col("__responses")) | (F.col("track") != track)
-    expected, declared = cases.select("case_id").distinct(), manifests.select(*run, F.explode("expected_case_ids").alias("case_id"))
-    said = declared.groupBy(*run).agg(F.count(F.lit(1)).alias("declared"), F.countDistinct("case_id").alias("distinct_declared"))
-    known = declared.distinct().join(expected, "case_id").groupBy(*run).agg(F.count(F.lit(1)).alias("known"))
-    seen = responses.groupBy(*run).agg(F.count(F.lit(1)).alias("observed"), F.countDistinct("case_id").alias("distinct_observed"))
-    met = responses.select(*run, "case_id").distinct().join(expected, "case_id").groupBy(*run).agg(F.count(F.lit(1)).alias("met"))
-    all_ = expected.agg(F.count(F.lit(1)).alias("expected"))
-    counts = reduce(lambda a, b: a.join(b, run, "left"), (said, known, seen, met), manifests.select(*run)).crossJoin(all_)  # one row
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    whole = reduce(Column.__and__, (zero(c) == F.col("expected") for c in ("declared", "distinct_declared", "known", "observed", "distinct_observed", "met")))
-    same = reduce(Column.__and__, (F.col(f"r_{n}").eqNullSafe(F.col(n)) for n in SETTINGS[:2]))
-    settings = responses.select(*run, *(F.col(n).alias(f"r_{n}") if n in responses.columns else F.lit(None).alias(f"r_{n}") for n in SETTINGS[:2]), F.col("seed").isNotNull().alias("seeded") if "seed" in responses.columns else F.lit(False).alias("seeded"))
-    differ = settings.join(manifests.select(*run, *SETTINGS[:2]), run).filter(~same | F.col("seeded"))
     blank = lambda c: F.trim(c) == ""
-    part = lambda frame, rule, reason: frame.select(*run, F.lit(rule).alias("rule"), F.lit(reason).alias("reason")).distinct()
-    return reduce(
-        DataFrame.unionByName,
-        (
-            part(rows.filter((F.col("schema_version") != SCHEMA_VERSION) | (F.col("engine_version") != ENGINE_VERSION)), "version", "unsupported manifest or engine version"),
-            part(rows.filter(~F.col("evidence").isin(*EVIDENCE)), "evidence", "unknown evidence kind"),
-            part(rows.filter(changed), "digest", "artifacts, prompts or track changed"),
-            part(counts.filter(~whole), "coverage", "incomplete, duplicate or unexpected cases"),
-            part(rows.filter(blank("run_id") | blank("model") | (F.col("max_output_tokens") == 0)), "configuration", "invalid run configuration"),
-            part(responses.join(manifests.select(*run), run, "left_anti"), "identity", "responses of no manifest"),
-            part(differ, "settings", "response settings disagree with the manifest"),
-            part(responses.filter("error is not null and output <> ''"), "error_with_output", "an error has no output"),
-        ),
-    )
+    there = F.col("schema_version").isNotNull()
+    rules = {
+        ("version", "unsupported manifest or engine version"): (F.col("schema_version") != SCHEMA_VERSION) | (F.col("engine_version") != ENGINE_VERSION),
+        ("evidence", "unknown evidence kind"): ~F.col("evidence").isin(*EVIDENCE),
+        ("digest", "artifacts, prompts or track changed"): reduce(Column.__or__, (F.col(n) != now[n] for n in DIGESTS)) | (there & ~F.col("responses_sha256").eqNullSafe(F.col("__responses"))) | (F.col("track") != track),
+        ("coverage", "incomplete, duplicate or unexpected cases"): there & ~reduce(Column.__and__, (zero(c) == asked for c in ("declared", "distinct_declared", "known", "observed", "distinct_observed", "met"))),
+        ("configuration", "invalid run configuration"): there & (blank("run_id") | blank("model") | (F.col("max_output_tokens") == 0)),
+        ("identity", "responses of no manifest"): ~there,
+        ("settings", "response settings disagree with the manifest"): F.col("differs"),
+        ("error_with_output", "an error has no output"): F.col("both"),
+    }
+    counted = seen.join(own, run)
+    wide = manifests.drop("expected_case_ids").join(said, run, "left").join(counted, run, "full_outer")
+    broken = F.filter(F.array(*(F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.lit(reason).alias("reason"))) for (rule, reason), when in rules.items())), lambda x: x.isNotNull())
+    return wide.select(*run, F.explode(broken).alias("v")).select(*run, "v.rule", "v.reason").distinct()
 
 
 def identities(manifests: DataFrame, responses: DataFrame) -> DataFrame:
@@ -188,7 +208,7 @@ def analyze(cases: DataFrame, references: DataFrame, editions: DataFrame, manife
             raise ValueError(what)
     if first := manifest_violations(manifests, responses, cases, references, editions).orderBy("run_id", "rule").first():
         raise ValueError(f"run {first['run_id']}: {first['reason']}")
-    named = identities(manifests, responses)
+    named = settled(identities(manifests, responses))
     if first := comparability_violations(named).orderBy("rule", "subject").first():
         raise ValueError(f"{first['rule']}: {first['subject']}")
     scores = score_all(responses, cases, references).join(named.select("provider", "model", "run_id", "identity"), ["provider", "model", "run_id"])  # a row a run
