@@ -211,7 +211,8 @@ def analyze(cases: DataFrame, references: DataFrame, editions: DataFrame, manife
     named = settled(identities(manifests, responses))
     if first := comparability_violations(named).orderBy("rule", "subject").first():
         raise ValueError(f"{first['rule']}: {first['subject']}")
-    scores = score_all(responses, cases, references).join(named.select("provider", "model", "run_id", "identity"), ["provider", "model", "run_id"])  # a row a run
+    # Kept by the session, as every table below reads the scores; lost blocks are computed again.
+    scores = score_all(responses, cases, references).join(named.select("provider", "model", "run_id", "identity"), ["provider", "model", "run_id"]).persist()  # a row a run
     parts = [bootstrap(cluster_means(scores, flag, "identity"), resamples, "identity").withColumn("metric", F.lit(flag)) for flag in ("exact_text", "exact_words")]
     intervals = reduce(DataFrame.unionByName, parts).groupBy("identity").pivot("metric", ["exact_text", "exact_words"]).agg(F.first("estimate").alias("estimate"), F.first("lower").alias("lower"), F.first("upper").alias("upper"), F.first("clusters").alias("clusters"))
     failed = F.col("classification") == "provider_error"
