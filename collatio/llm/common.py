@@ -34,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of a new name in the shared one, which goes when the program ends."""
+    path = f"{shared_dir(spark)}/collatio-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again; the shuffles that made it are deleted.
 

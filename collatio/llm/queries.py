@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, contamination, crossalign, html, licenses, packing, quality, secrets, simhash, suffix, tokencount
-from .common import table
+from . import classlm, contamination, crossalign, html, licenses, packing, quality, secrets, simhash, suffix, tokencount, tokenfiles
+from .common import scratch, table
 from .native import matches
 from .oracles import ORACLES
 
@@ -64,6 +64,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents' ids to files, then reads each document back by its key."""
+    folder = scratch(spark, "token-files")
+    tokenfiles.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    return tokenfiles.read(tokenfiles.keys(spark, folder), folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossalign.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scans,
         op9_license_scans,
         op10_simhash_near_dedup,
+        op11_token_files,
         op13_cross_tokenizer_alignment,
     )
 }
