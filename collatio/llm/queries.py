@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, contamination, crossalign, html, licenses, packing, quality, secrets, simhash, suffix, tokencount, tokenfiles
+from . import classlm, contamination, conversations, crossalign, html, licenses, packing, quality, secrets, simhash, suffix, tokencount, tokenfiles
 from .common import scratch, table
 from .native import matches
 from .oracles import ORACLES
@@ -71,6 +71,13 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(tokenfiles.keys(spark, folder), folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages conversations by a fixed rule, then repairs them; all conversations, also those that lost every turn."""
+    rows = table(spark, sf_dir, "conversations")
+    found = conversations.repair(conversations.damaged(rows), rows.select(F.col("conv_id").alias("conv")))
+    return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossalign.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_license_scans,
         op10_simhash_near_dedup,
         op11_token_files,
+        op12_conversation_repair,
         op13_cross_tokenizer_alignment,
     )
 }
