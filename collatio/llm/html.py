@@ -30,33 +30,99 @@ RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "text
 HEAD = {"base", "basefont", "bgsound", "link", "meta", "noscript", "script", "style", "template", "title", "head", "html"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)|[^<>]*)>",
-    re.I | re.S,
-)
-#: Elements around a text that are told apart by number.
-OUTER = 64
+_RAW = re.compile(rf"({'|'.join(RAW)})\b", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/<>\"']*)")
+_MARK, _BRACKET = re.compile("[<>\"']"), re.compile("[<>]")
+#: Fixed value: places of a weight that count. Weights are summed as whole numbers, so that what opens and closes leaves no trace.
+DIGITS = 10_000
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
 
-@dataclass
+@dataclass(slots=True)
 class Event:
     """A tag, or a run of text between tags."""
 
     kind: str  # the tag's name; "" for text
     text: str = ""
-    inside: tuple[str, ...] = ()  # features of the elements around a text
+    inside: tuple[str, ...] = ()  # features of the elements around a text, where weights are not known yet
     apart: bool = False  # in a form, the head, or something hidden
     breaks: bool = False  # ends a block
-    within: tuple[tuple[int, tuple[str, ...]], ...] = ()  # the outermost elements around a text: number and features
+    speaks: float | None = None  # the sum of the weights of the features around a text
+    home: "Element | None" = None  # the innermost element around a text
 
 
-@dataclass
-class _Open:
+@dataclass(slots=True, eq=False)
+class Element:
     name: str
     features: tuple[str, ...]
-    number: int
+    around: "Element | None"
+    begin: int  # of the events that it holds
     apart: str = ""  # why what it holds is apart: "element", "form" or not
+    end: int | None = None
+
+
+def tokens(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Marked-up parts of a page: begin, end, kind ("", data, raw, tag or end), name and what stands behind it.
+
+    Time is linear on any markup: what ends a part is looked for once, and where quotes lead is remembered.
+    """
+    at, size, last, data_ends, leads = 0, len(html), html.rfind(">"), True, {}
+
+    def closing(place: int) -> int:
+        """The first bracket outside of quotes; a quote without an end stops there."""
+        passed = []
+        while True:
+            m = _MARK.search(html, place)
+            found = m.start() if m else size
+            if found in leads:
+                found = leads[found]
+                break
+            if not m or m[0] in "<>":
+                break
+            passed.append(found)
+            behind = html.find(m[0], found + 1)
+            if behind < 0:
+                break
+            place = behind + 1
+        leads.update(dict.fromkeys(passed, found))
+        return found
+
+    while (begin := html.find("<", at)) >= 0:
+        at = begin + 1
+        if html.startswith("!--", at):
+            end = html.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else size
+            yield begin, at, "", "", ""
+            continue
+        if begin > last:
+            continue
+        if html[at] in "!?":
+            if data_ends and html[at : at + 8].upper() == "![CDATA[":
+                end = html.find("]]>", begin + 9)
+                if end >= 0:
+                    at = end + 3
+                    yield begin, at, "data", "", html[begin + 9 : end]
+                    continue
+                data_ends = False
+            at = html.find(">", begin + 2) + 1
+            if not at:
+                return
+            yield begin, at, "", "", ""
+        elif m := _RAW.match(html, at):
+            name = m[1].lower()
+            end = _RAW_END[name].search(html, html.find(">", m.end()) + 1)
+            at = end.end() if end else size
+            yield begin, at, "raw", name, ""
+        elif m := _NAME.match(html, at):
+            end = closing(m.end())
+            if end == size or html[end] != ">":
+                other = _BRACKET.search(html, m.end())
+                if not other or other[0] != ">":
+                    continue
+                end = other.start()
+            at = end + 1
+            yield begin, at, "end" if m[1] else "tag", m[2].lower(), html[m.end() : end]
 
 
 @lru_cache(4096)
@@ -70,113 +136,108 @@ def _features(name: str, rest: str) -> tuple[tuple[str, ...], bool]:
     return (name, *(f".{w}" for w in dict.fromkeys(words)), *(f"@{w}" for w in values.get("role", "").split())), hidden
 
 
-def events(html: str) -> list[Event]:
-    """A page's tags and texts, with every form apart."""
-    return _scan(html, set())[0]
-
-
-def page_events(html: str) -> list[Event]:
-    """The same, but that a form is not apart where it holds an article or most of the page's words."""
-    out, wide = _scan(html, set())
-    return _scan(html, wide)[0] if wide else out
+def page_events(html: str, weights: "Weights | None" = None) -> list[Event]:
+    """A page's tags and texts. A form is apart, unless it holds an article or most of the page's words."""
+    out, wide = _scan(html, set(), weights)
+    return _scan(html, wide, weights)[0] if wide else out
 
 
-def _scan(html: str, wide: set[int]) -> tuple[list[Event], set[int]]:
+def _scan(html: str, wide: set[int], weights: "Weights | None") -> tuple[list[Event], set[int]]:
     """Events, with the forms of `wide` (numbers in order) not apart, and the forms that hold an article or
-    most words. A form within a form is part of it."""
+    most words. A form within a form is part of it. With weights, texts carry the sum of those around them."""
     out: list[Event] = []
     forms, main, words = 0, set(), Counter()  # words by form, 0 outside
-    stack: list[_Open] = []
+    stack: list[Element] = []
     held: Counter = Counter()  # open elements by name, and those that are apart by why
-    around: Counter = Counter()  # features of the open elements
+    around: dict[str, int] = {}  # features of the open elements, with how many have them
     inside: tuple[str, ...] | None = ()  # the same as a tuple, once asked for
-    within: tuple[tuple[int, tuple[str, ...]], ...] = ()
-    at = number = 0
+    total = clean = at = 0  # the sum of their weights; how many of the outermost elements have lost their classes
 
     def text(raw: str) -> None:
-        nonlocal inside, within
+        nonlocal inside
         if raw:
             if raw.strip():
                 end_head()
             if not held["why", "element"]:
                 words[forms if held["form"] else 0] += len(raw.split())
-            if inside is None:
-                inside = tuple(f for f, n in around.items() if n)
-                within = tuple((x.number, x.features) for x in stack[:OUTER] if x.features)
-            out.append(Event("", raw, inside, apart(), within=within))
+            if weights is None and inside is None:
+                inside = tuple(around)
+            out.append(Event("", raw, inside if weights is None else (), apart(), speaks=None if weights is None else total / DIGITS, home=stack[-1] if stack else None))
 
     def apart() -> bool:
         return held["why", "element"] + held["why", "form"] > 0
 
+    def count(features: tuple[str, ...], by: int) -> None:
+        nonlocal inside, total
+        for f in features:
+            n = around.get(f, 0) + by
+            if n == max(by, 0) and weights is not None:  # the first comes or the last goes
+                total += by * weights.whole(f)
+            if n:
+                around[f] = n
+            else:
+                del around[f]
+        inside = None
+
     def pop(to: int) -> None:
-        nonlocal inside
+        nonlocal clean
         for x in stack[to:]:
             held[x.name] -= 1
             held["why", x.apart] -= 1
-            around.subtract(x.features)
+            count(x.features, -1)
+            x.end = len(out)
         del stack[to:]
-        inside = None
+        clean = min(clean, to)
 
     def end_head() -> None:
         if stack and stack[-1].name == "head":
             pop(len(stack) - 1)
 
-    for m in _TOKEN.finditer(html):
-        text(html[at : m.start()])
-        at = m.end()
-        if m["data"] is not None:
-            text(m["data"].replace("&", "&amp;"))
-        name = (m["name"] or "").lower()
-        if not name:
-            if m["raw"]:
-                if m["raw"].lower() not in HEAD:
-                    end_head()
-                out.append(Event(m["raw"].lower(), "", (), True, True))
-            continue
-        if m["end"]:
+    for begin, end, kind, name, rest in tokens(html):
+        text(html[at:begin])
+        at = end
+        if kind == "data":
+            text(rest.replace("&", "&amp;"))
+        elif kind == "raw":
+            if name not in HEAD:
+                end_head()
+            out.append(Event(name, "", (), True, True))
+        elif kind == "end":
             out.append(Event(name, "", (), apart(), name not in INLINE))
             if held[name]:
                 k = len(stack) - 1
                 while stack[k].name != name:  # each element passed is closed, so passed once
                     k -= 1
                 pop(k)
-            continue
-        if name not in HEAD:
-            end_head()
-        if name in ("article", "main") and held["form"] and not held["why", "element"]:
-            main.add(forms)
-        if name in ("article", "main"):  # the classes of what holds an article tell nothing of it
-            for x in stack:
-                around.subtract(f for f in x.features if f[0] == ".")
-                x.features = tuple(f for f in x.features if f[0] != ".")
-            inside = None
-        if name not in INLINE and stack and stack[-1].name == "p" and name not in VOID:
-            pop(len(stack) - 1)
-        if name in ("li", "tr", "td", "th", "option", "dt", "dd") and stack and stack[-1].name == name:
-            pop(len(stack) - 1)
-        if name not in VOID and not m["rest"].endswith("/"):
-            features, hidden = _features(name, m["rest"])
-            why = "element" if hidden or name == "head" else ""
-            if name == "form":
-                forms += not held["form"]
-                why = why or ("" if forms in wide else "form")
-            if name in ("html", "body") or not _told(around):
-                features = ()
-            number += 1
-            stack.append(_Open(name, features, number, why))
-            held[name] += 1
-            held["why", why] += 1
-            around.update(features)
-            inside = None
-        out.append(Event(name, "", (), apart(), name not in INLINE))
+        elif kind == "tag":
+            if name not in HEAD:
+                end_head()
+            if name in ("article", "main") and held["form"] and not held["why", "element"]:
+                main.add(forms)
+            if name in ("article", "main"):  # the classes of what holds an article tell nothing of it
+                for x in stack[clean:]:
+                    count(tuple(f for f in x.features if f[0] == "."), -1)
+                    x.features = tuple(f for f in x.features if f[0] != ".")
+                clean = len(stack)
+            if name not in INLINE and stack and stack[-1].name == "p" and name not in VOID:
+                pop(len(stack) - 1)
+            if name in ("li", "tr", "td", "th", "option", "dt", "dd") and stack and stack[-1].name == name:
+                pop(len(stack) - 1)
+            if name not in VOID and not rest.endswith("/"):
+                features, hidden = _features(name, rest)
+                why = "element" if hidden or name == "head" else ""
+                if name == "form":
+                    forms += not held["form"]
+                    why = why or ("" if forms in wide else "form")
+                if name in ("html", "body"):
+                    features = ()
+                stack.append(Element(name, features, stack[-1] if stack else None, len(out), why))
+                held[name] += 1
+                held["why", why] += 1
+                count(features, 1)
+            out.append(Event(name, "", (), apart(), name not in INLINE))
     text(html[at:])
-    total = sum(words.values())
-    return out, main | {k for k, n in words.items() if k and 2 * n > total}
-
-
-def _told(around: Counter) -> bool:
-    """Whether more features are told apart: beyond so many the markup is broken, and each text would carry them all."""
-    return len(around) < 512
+    return out, main | {k for k, n in words.items() if k and 2 * n > sum(words.values())}
 
 
 @dataclass
@@ -190,8 +251,11 @@ class Weights:
     region: float = 1.0
     most: float = 4.0
 
+    def whole(self, feature: str) -> int:
+        return round(self.features.get(feature, 0.0) * DIGITS)
+
     def odds(self, e: Event, n: int) -> float:
-        return self.base + self.features.get(_length(n), 0.0) + sum(self.features.get(f, 0.0) for f in e.inside)
+        return self.base + self.features.get(_length(n), 0.0) + (sum(map(self.whole, e.inside)) / DIGITS if e.speaks is None else e.speaks)
 
     def of(self, e: Event) -> float:
         if e.kind:
@@ -282,13 +346,19 @@ def widened(own: list[Event], begin: int, end: int, weights: Weights) -> tuple[i
     texts = [e for e in own[begin:end] if not e.kind and not e.apart and e.text.strip()]
     if not texts:
         return begin, end
-    last = set(texts[-1].within)
-    homes = [n for n, features in texts[0].within if (n, features) in last and sum(weights.features.get(f, 0.0) for f in features) > 1]
-    if not homes:
+    homes, home = set(), texts[0].home
+    while home:
+        homes.add(id(home))
+        home = home.around
+    home = texts[-1].home
+    while home and (id(home) not in homes or sum(map(weights.whole, home.features)) <= DIGITS):
+        home = home.around
+    if not home:
         return begin, end
     good = []
-    for k, e in enumerate(own):
-        if not begin <= k < end and not e.kind and not e.apart and any(n == homes[-1] for n, _ in e.within):
+    for k in range(home.begin, len(own) if home.end is None else home.end):
+        e = own[k]
+        if not begin <= k < end and not e.kind and not e.apart:
             words = len(e.text.split())
             if words and weights.odds(e, words) > 0:
                 good.append(k)
@@ -301,8 +371,8 @@ def main_text(html: str, weights: Weights | None = None) -> str:
     The scan says where the content begins and ends. Blocks between others of the content go if their
     words speak against them.
     """
-    own = page_events(html)
     weights = weights or fitted()
+    own = page_events(html, weights)
     begin, end = best_region([weights.of(e) for e in own])
     begin, end = widened(own, begin, end, weights)
     if begin < end:  # words at either edge are part of the block they stand in
