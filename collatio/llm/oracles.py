@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .licenses import LEAST_SLACK, NAMES, PHRASES, SLACK, TEMPLATES
+from .licenses import NEAR, NOTICES, PHRASES, room
 from .quality import ORACLE as QUALITY
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -47,8 +47,8 @@ def _licenses(threshold: float = 0.8) -> str:
     """Phrases by word; and for each template the windows of blocks that hold enough of its words, the naming ones in order."""
     lists = lambda words: "[" + ", ".join(map(_quoted, words)) + "]"
     templates = ",\n".join(
-        f"({k}, {_quoted(name)}, {lists(sorted(set(t.split())))}, {lists(NAMES[k].split())}::VARCHAR[], {len(t.split()) + max(LEAST_SLACK, math.ceil(SLACK * len(t.split())))}, {math.ceil(threshold * len(set(t.split())) - 1e-9)})"
-        for k, (name, t) in enumerate(TEMPLATES)
+        f"({k}, {_quoted(name)}, {lists(sorted(set(t.split())))}, {lists(names.split())}::VARCHAR[], {lists(other.split())}::VARCHAR[], {room(t)}, {math.ceil(threshold * len(set(t.split())) - 1e-9)})"
+        for k, (name, t, names, other) in enumerate(NOTICES)
     )
     phrases = ", ".join(f"({lists(p.split())}, {_quoted(name)})" for p, name in PHRASES)
     follow = lambda k: f"CASE WHEN len(names) < {k} THEN c{k - 1} ELSE list_filter(held, lambda x: x.w = names[{k}] AND len(list_filter(c{k - 1}, lambda y: x.p > y.p AND x.p <= y.p + 2)) > 0) END AS c{k}"
@@ -57,13 +57,13 @@ WITH d AS (SELECT doc_id, {_WORDS.format(of=_LOWER)} AS ws, {_LOWER} AS low FROM
 phrase(pw, label) AS (VALUES {phrases}),
 placed AS (SELECT doc_id, label, k - 1 AS p FROM (SELECT doc_id, ws, pw, label, unnest(list_filter(range(1, len(ws) + 1), lambda k: ws[k] = pw[1])) AS k FROM d, phrase WHERE list_contains(ws, 'license')) WHERE ws[k:k + len(pw) - 1] = pw),
 base AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM placed GROUP BY doc_id),
-t(k, label, tw, names, room, need) AS (VALUES {templates}),
+t(k, label, tw, names, other, room, need) AS (VALUES {templates}),
 b AS (SELECT doc_id, row_number() OVER () AS block, {_WORDS.format(of="part")} AS ws FROM (SELECT doc_id, unnest(string_split_regex(low, '\n[\x20\x09\x0B-\x0D]*\n')) AS part FROM d)),
-m AS (SELECT doc_id, label, tw, names, room, need, list_filter(list_transform(range(1, len(ws) + 1), lambda i: {{'w': ws[i], 'p': i}}), lambda x: list_contains(tw, x.w)) AS seq FROM b, t WHERE len(list_intersect(ws, tw)) >= need),
-win AS (SELECT doc_id, label, tw, names, need, list_filter(seq, lambda y: y.p >= x.p AND y.p < x.p + room) AS held FROM (SELECT *, unnest(seq) AS x FROM m)),
-c1 AS (SELECT *, CASE WHEN len(names) = 0 THEN held ELSE list_filter(held, lambda x: x.w = names[1]) END AS c1, len(list_distinct(list_transform(held, lambda x: x.w))) AS found FROM win),
+m AS (SELECT doc_id, label, tw, names, other, room, need, list_filter(list_transform(range(1, len(ws) + 1), lambda i: {{'w': ws[i], 'p': i}}), lambda x: list_contains(tw, x.w) OR list_contains(other, x.w)) AS seq FROM b, t WHERE len(list_intersect(ws, tw)) >= need),
+win AS (SELECT doc_id, label, tw, names, other, need, list_filter(seq, lambda y: y.p >= x.p AND y.p < x.p + room) AS held FROM (SELECT *, unnest(list_filter(seq, lambda x: list_contains(tw, x.w))) AS x FROM m)),
+c1 AS (SELECT *, CASE WHEN len(names) = 0 THEN held ELSE list_filter(held, lambda x: x.w = names[1]) END AS c1, len(list_distinct(list_filter(list_transform(held, lambda x: x.w), lambda w: list_contains(tw, w)))) AS found FROM win),
 c2 AS (SELECT *, {follow(2)} FROM c1 WHERE found >= need), c3 AS (SELECT *, {follow(3)} FROM c2), c4 AS (SELECT *, {follow(4)} FROM c3),
-more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(found / len(tw)) AS best FROM c4 WHERE len(c4) > 0 GROUP BY doc_id)
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(found / len(tw)) AS best FROM c4 WHERE len(list_filter(c4, lambda x: len(list_filter(held, lambda y: list_contains(other, y.w) AND abs(y.p - x.p) <= {NEAR})) = 0)) > 0 GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)

@@ -272,10 +272,20 @@ def test_license_words_stand_together_and_name_it(spark):
     long = dict(enumerate(t for _, t in licenses.TEMPLATES))
     texts = {
         "Released under the Apache License": "apache",
-        "licensed under CC BY 4.0": "",
+        "licensed under CC BY 4.0": "cc-by",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa",
+        "licensed under CC BY-SA 4.0.": "cc-by-sa",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation": "boost",
+        "You may not use this file except in compliance with the License. You may obtain a copy of the License at https://mozilla.org": "",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0": "apache",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "gpl,lgpl",
+        "licensed under cc by nc 4 0 " + "so " * 500 + "licensed under cc by nc sa 4 0": "cc-by-nc,cc-by-nc-sa",
         "Wir gehen mit dir. Released under the Apache License, mit dem Hund.": "apache",
         "released it was. " + "so " * 40 + "under the bridge " + "so " * 40 + "mit license": "mit",
         "it was released. " + "so " * 40 + "under the bridge mit " + "so " * 40 + "license": "",
+        "released under\n\nthe mit license": "mit",
+        "licensed under cc by\n\nnc 4 0": "",
         "Released under the terms of the MIT (Expat) License": "mit",
         "so " * 50 + "Licensed under CC BY-NC 4.0. " + "so " * 50: "cc-by-nc",
         "so " * 50 + long[6].replace(" ", "\n", 9) + " so" * 50: "bsd",
