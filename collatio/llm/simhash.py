@@ -3,13 +3,14 @@
 Two fingerprints that differ in at most 2r bits have a common variant within r bits of both. Every
 fingerprint's variants within r bits are dealt out by a linear hash of their bits. As the hash is linear,
 a task can tell from a fingerprint which of its variants have a given hash, so the shuffle carries the
-fingerprint once a bucket (the hash's lower bits) and not every variant. A bucket goes through its hashes
-(the upper bits) one by one: it sorts the variants of a hash, links the fingerprints that meet, and
-verifies each link.
+fingerprint once a bucket (the hash's lower bits) and not every variant. A bucket puts its fingerprints in
+the order of their hashes, on disk where they are many, and goes through its own hashes (the upper bits)
+one by one: it sorts the variants of a hash, links the fingerprints that meet, and verifies each link.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,8 +25,11 @@ from .common import batches, discard, shielded, small_batches, utf8, written
 BITS = 64
 #: Variants that a bucket holds at once, 40 bytes each while it sorts them.
 BUCKET_VARIANTS = 2_000_000
-#: Bits of the hash that number the buckets, as long as a bucket can hold all fingerprints: so many, of some 24 bytes.
-BUCKET_BITS, BUCKET_PRINTS = 6, 16_000_000
+#: Variants that a bucket goes through in all, about; there are at least and at most so many bits for the number of buckets as
+#: long as a bucket can hold all fingerprints, which are 16 bytes each, in memory for so many and on its disk beyond.
+BUCKET_WORK, BUCKET_BITS, HELD_PRINTS, BUCKET_PRINTS = 64_000_000, (6, 9), 4_000_000, 1_000_000_000
+#: Fingerprints that are put in order at once.
+CHUNK = 1 << 16
 #: Parts into which the members of a group are dealt when they learn its name.
 SALTS = 8
 
@@ -98,51 +102,115 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def met(fps: np.ndarray, bucket: int, bits: int, columns: np.ndarray, flips: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among distinct fingerprints with a common variant in the bucket, as (fingerprint, one that its links lead to)."""
-    hashes = linear_hash(fps, columns)
-    order = np.argsort(hashes, kind="stable")
-    fps = fps[order]
-    at = np.searchsorted(hashes[order], np.arange(len(flips) + 1))
-    del hashes, order
+class Prints:
+    """A bucket's fingerprints, to be put in the order of their hashes: counted as they come, then each put in its place."""
+
+    def __init__(self, columns: np.ndarray, order: int, held: int = HELD_PRINTS):
+        self.columns, self.held, self.n = columns, held, 0
+        self.counts = np.zeros(1 << order, np.int64)
+        self.fresh, self.waiting = [], 0  # not counted yet
+        self.parts: list[np.ndarray] = []
+        self.file = None
+
+    def add(self, fps: np.ndarray) -> None:
+        self.fresh.append(fps)
+        self.waiting += len(fps)
+        if self.waiting >= CHUNK:
+            self._count()
+
+    def _count(self) -> None:
+        if not self.waiting:
+            return
+        fps = np.concatenate(self.fresh)
+        self.fresh, self.waiting = [], 0
+        self.counts += np.bincount(linear_hash(fps, self.columns), minlength=len(self.counts))
+        self.n += len(fps)
+        self.parts.append(fps)
+        if self.file or self.n > self.held:
+            self.file = self.file or tempfile.TemporaryFile()
+            for part in self.parts:
+                self.file.write(part.tobytes())
+            self.parts = []
+
+    def _chunks(self) -> Iterator[np.ndarray]:
+        if self.file:
+            self.file.seek(0)
+            while data := self.file.read(8 * CHUNK):
+                yield np.frombuffer(data, np.uint64)
+        yield from self.parts
+
+    def ordered(self) -> tuple[np.ndarray, np.ndarray]:
+        """The fingerprints by hash, and where those of each hash begin."""
+        self._count()
+        at = np.concatenate(([0], np.cumsum(self.counts)))
+        if self.file:
+            with tempfile.TemporaryFile() as target:
+                target.truncate(8 * self.n)
+                out = np.memmap(target, np.uint64, "r+", shape=(self.n,))
+        else:
+            out = np.empty(self.n, np.uint64)
+        free = at[:-1].copy()
+        for part in self._chunks():
+            hashes = linear_hash(part, self.columns)
+            order = np.argsort(hashes, kind="stable")
+            hashes = hashes[order]
+            new = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+            sizes = np.diff(np.append(new, len(hashes)))
+            out[np.repeat(free[hashes[new]] - new, sizes) + np.arange(len(hashes))] = part[order]
+            free[hashes[new]] += sizes
+        return out, at
+
+
+def met(fps: np.ndarray, at: np.ndarray, bucket: int, bits: int, flips: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among distinct fingerprints (by hash, those of hash k from at[k] on) with a common variant in the bucket,
+    as (fingerprint, one that its links lead to). What is held are the variants of one hash, and links."""
     filled = np.array([d for d, x in enumerate(flips) if len(x)])
-    u = v = np.zeros(0, np.int64)
+    u = v = np.zeros(0, np.uint64)
     for target in range(bucket, len(flips), 1 << bits):
-        made, owner = [], []
-        near = target ^ filled  # the fingerprints of these hashes have variants of the target's
+        made, owner, own = [], [], []
+        near, n = target ^ filled, 0  # the fingerprints of these hashes have variants of the target's
         for d in filled[at[near] < at[near + 1]].tolist():
-            own, masks = np.arange(at[target ^ d], at[(target ^ d) + 1], dtype=np.int32), flips[d]
-            made.append((fps[own][:, None] ^ masks[None, :]).ravel())
-            owner.append(np.repeat(own, len(masks)))
+            some, masks = np.array(fps[at[target ^ d] : at[(target ^ d) + 1]]), flips[d]
+            made.append((some[:, None] ^ masks[None, :]).ravel())
+            owner.append(np.repeat(np.arange(n, n + len(some), dtype=np.int32), len(masks)))
+            own.append(some)
+            n += len(some)
         if not made:
             continue
-        variants, owner = np.concatenate(made), np.concatenate(owner)
+        variants, owner, own = np.concatenate(made), np.concatenate(owner), np.concatenate(own)
         order = np.argsort(variants)
         variants, owner = variants[order], owner[order]
         new = np.concatenate(([True], variants[1:] != variants[:-1]))
-        run = np.flatnonzero(new)
-        least = np.minimum.reduceat(owner, run)[np.cumsum(new) - 1]
+        least = np.minimum.reduceat(owner, np.flatnonzero(new))[np.cumsum(new) - 1]
         linked = owner != least
-        a, b = np.divmod(np.unique(owner[linked].astype(np.int64) * len(fps) + least[linked]), len(fps))
-        close = np.bitwise_count(fps[a] ^ fps[b]) <= most
+        a, b = np.divmod(np.unique(owner[linked].astype(np.int64) * n + least[linked]), n)
+        close = np.bitwise_count(own[a] ^ own[b]) <= most
         if close.any():
-            label = roots(np.concatenate((u, a[close])), np.concatenate((v, b[close])), len(fps))
-            u = np.flatnonzero(label != np.arange(len(fps)))
-            v = label[u]
-    return fps[u], fps[v]
+            u, v = forest(np.concatenate((u, own[a[close]])), np.concatenate((v, own[b[close]])))
+    return u, v
 
 
-def links(fps: DataFrame, most: int = 4, prints: int = BUCKET_PRINTS, variants: int = BUCKET_VARIANTS) -> DataFrame:
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few links that connect the same: each node but the least of its group with the least."""
+    nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    label = roots(ends[: len(u)], ends[len(u) :], len(nodes))
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[own], nodes[label[own]]
+
+
+def links(fps: DataFrame, most: int = 4, prints: int = BUCKET_PRINTS, variants: int = BUCKET_VARIANTS, held: int = HELD_PRINTS) -> DataFrame:
     """Links (`u`, `v`) that connect the same distinct fingerprints as all pairs at `most` or fewer differing bits.
 
-    Up to `prints` fingerprints, each is copied to 64 buckets. Beyond, buckets are as many as keep one at
-    `prints`, so that a fingerprint is copied once for each of its variants, 2,081 for 4 bits: the method's own price.
+    Up to `prints` fingerprints, each is copied to 64 to 512 buckets, the more the more there are; a bucket keeps more than
+    `held` on its disk. Beyond, buckets are as many as keep one at `prints`, so that a fingerprint is copied once for
+    each of its variants, 2,081 for 4 bits: the method's own price.
     """
     radius, n = (most + 1) // 2, fps.count()
     flips_all = sum(1 for k in range(radius + 1) for _ in combinations(range(BITS), k))
     log = lambda x: int(np.ceil(np.log2(max(1, x))))
     order = max(4, log(n * flips_all / variants))
-    bits = min(order, BUCKET_BITS) if n <= prints else max(BUCKET_BITS, log(n * flips_all / prints))
+    fewest, largest = BUCKET_BITS
+    bits = min(order, largest, max(fewest, log(n * flips_all / BUCKET_WORK))) if n <= prints else max(largest, log(n * flips_all / prints))
     order = max(order, bits)
     columns, flips = ball(BITS, radius, order)
     low = columns & ((1 << bits) - 1)
@@ -158,13 +226,25 @@ def links(fps: DataFrame, most: int = 4, prints: int = BUCKET_PRINTS, variants:
             for k in range(0, len(values), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(values[k : k + 4096]), pa.array([p.tobytes() for p in parts[k : k + 4096]], pa.binary())], names=["bucket", "fps"])
 
-    def meet(part: pa.Table) -> pa.Table:
-        own = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in part["fps"]])
-        u, v = met(own, part["bucket"][0].as_py(), bits, columns, flips, most)
-        return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
+    def meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, own = None, None
+
+        def found() -> pa.RecordBatch:
+            u, v = met(*own.ordered(), bucket, bits, flips, most)
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+        for batch in batches(rows):
+            for key, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key != bucket:
+                    if own:
+                        yield found()
+                    bucket, own = key, Prints(columns, order, held)
+                own.add(np.frombuffer(part, np.uint64))
+        if own:
+            yield found()
 
     dealt = fps.mapInArrow(deal, "bucket long, fps binary").repartition(min(1 << bits, 1 + n * flips_all // variants), "bucket")
-    return dealt.groupBy("bucket").applyInArrow(meet, "u long, v long").distinct()
+    return dealt.sortWithinPartitions("bucket").mapInArrow(meet, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -327,12 +327,41 @@ def test_links_at_four_bits(spark):
     prints = list(dict.fromkeys(prints))
     fps = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long").repartition(3)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    # As usual; in many slices of few buckets; and in more buckets than any fingerprint has copies of.
-    for limits in ({}, {"variants": 2_000}, {"prints": 250, "variants": 60_000}):
+    # As usual; in many slices of few buckets; on disk; and in more buckets than any fingerprint has copies of.
+    for limits in ({}, {"variants": 2_000}, {"held": 40}, {"prints": 250, "variants": 60_000}):
         least = {x.node: x.root for x in simhash.components(simhash.links(fps, **limits)).collect()}
         assert [least.get(s, s) for s in signed] == brute.components(signed, prints)
 
 
+def test_a_bucket_of_four_million_prints():
+    """What a bucket holds in memory does not grow with its fingerprints, beyond those that it may hold."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    order, n = 13, 4_000_000
+    columns, flips = simhash.ball(64, 2, order)
+    tracemalloc.start()
+    prints = simhash.Prints(columns, order, held=200_000)
+    planted = []
+    for _ in range(0, n, 50_000):
+        fps = rng.integers(0, 1 << 63, 50_000, dtype=np.uint64)
+        fps[1] = fps[0] ^ np.uint64(0b1011)
+        planted.append((int(fps[0]), int(fps[1])))
+        prints.add(fps)
+    own, at = prints.ordered()
+    assert at[-1] == n and (np.diff(simhash.linear_hash(np.array(own[:200_000]), columns)) >= 0).all()
+    u, v = (np.concatenate(x) for x in zip(*(simhash.met(own, at, bucket, 12, flips, 4) for bucket in (5, 77)), strict=True))
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+    assert all(int(a ^ b).bit_count() <= 4 for a, b in zip(u, v, strict=True))
+    found = {frozenset(x) for x in zip(u.tolist(), v.tolist(), strict=True)}
+    middle = [{a ^ (1 << i) ^ (1 << j) if i != j else a ^ (1 << i) for i in (0, 1, 3) for j in (0, 1, 3)} for a, _ in planted]
+    here = [int(simhash.linear_hash(np.array(sorted(m), np.uint64), columns)[0] & 4095) in (5, 77) for m in middle]
+    assert all(frozenset(p) in found for p, h in zip(planted, here, strict=True) if h)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101 + k) for k in range(50)] + [(7, 7)]
     found = {x.node: x.root for x in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
