@@ -51,3 +51,42 @@ def totals(settled: DataFrame) -> DataFrame:
 def imbalances(settled: DataFrame, stored: DataFrame) -> DataFrame:
     """Runs whose stored total (`run`, `total`) is not the sum of their charges."""
     return totals(settled).join(stored, "run", "full_outer").filter(~F.col("charged").eqNullSafe(F.col("total").cast("decimal(38,0)")))
+
+
+#: Fixed value: what an interrupted request is recorded as.
+INTERRUPTED = "interrupted request: outcome and billing unknown; not replayed; full reservation retained"
+
+
+def requests(log: DataFrame, wait: int) -> DataFrame:
+    """The requests of runs from their events: `run`, `place`, `case_id`, `state`, `charged`, `reservation_retained`, `account`, `error`.
+
+    `log` has `run`, `at` (time), `seq`, `kind`, `place`, `case_id`, `reserved` and `observed` (whole nano-euros). A run
+    reserves a place, then settles it; an unknown cost keeps the reservation (`uncertain`). A reservation
+    is `interrupted` if it is not settled within `wait` milliseconds, or before the run resumes: its
+    reservation stays, and what comes later is passed over. Places only go up, so no request is sent twice:
+    another reservation of a place, or of an earlier one, is passed over too. `account` is what the run has
+    settled and reserved up to a settlement.
+    """
+    ms = F.unix_millis("at")
+    run = Window.partitionBy("run").orderBy(ms, "seq")
+    later, earlier = run.rowsBetween(1, Window.unboundedFollowing), run.rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("run", "place").orderBy(ms, "seq").rowsBetween(1, Window.unboundedFollowing)
+    key = F.struct(ms.alias("ms"), "seq")
+    settled = F.struct(key.alias("key"), "observed")
+    rows = log.withColumns({
+        "ms": ms, "resumed": F.min(F.when(F.col("kind") == "resume", key)).over(later),
+        "before": F.max(F.when(F.col("kind") == "reserve", F.col("place"))).over(earlier), "settled": F.first(F.when(F.col("kind") == "settle", settled), True).over(own),
+    })
+    rows = rows.filter((F.col("kind") == "reserve") & (F.col("before").isNull() | (F.col("place") > F.col("before"))))
+    in_time = F.coalesce((F.col("settled.key.ms") < F.col("ms") + wait) & (F.col("resumed").isNull() | (F.col("settled.key") < F.col("resumed"))), F.lit(False))
+    observed = F.when(in_time, F.col("settled.observed"))
+    rows = rows.select(
+        "run", "place", "case_id", "reserved", F.when(~in_time, "interrupted").when(observed.isNull(), "uncertain").otherwise("settled").alias("state"), F.coalesce(observed, "reserved").alias("charged"),
+        F.struct(F.col("ms"), F.col("seq")).alias("begun"), F.when(in_time, F.col("settled.key")).alias("ended"),
+    )
+    changes = F.array(F.struct(F.col("begun").alias("key"), F.col("reserved").alias("by"), F.lit(False).alias("ends")), F.struct(F.col("ended").alias("key"), (F.col("charged") - F.col("reserved")).alias("by"), F.lit(True).alias("ends")))
+    moved = rows.select("*", F.explode(F.filter(changes, lambda x: x["key"].isNotNull() | x["ends"])).alias("c"))
+    account = F.sum(F.coalesce("c.by", F.lit(0))).over(Window.partitionBy("run").orderBy(F.col("c.key").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+    moved = moved.withColumn("account", F.when(F.col("c.key").isNotNull(), account)).filter("c.ends")
+    lost = F.col("state") == "interrupted"
+    return moved.select("run", "place", "case_id", "state", F.col("charged").cast("long").alias("charged"), (F.col("state") != "settled").alias("reservation_retained"), F.col("account").cast("long").alias("account"), F.when(lost, INTERRUPTED).alias("error"))

@@ -11,7 +11,7 @@ from ..functions import providers
 from ..functions.align import word_diff
 from ..functions.digests import json_text, ordered_digest
 from ..functions.text import contains_contiguous, ref_label, words
-from ..operators import guard, ledger, pilot, prompts, report, runs, sampling, selection, sessions, statistics, study, trials, validation
+from ..operators import guard, ledger, pilot, prompts, report, runs, sampling, selection, sessions, statistics, study, switching, trials, validation
 from ..operators.scoring import KEY, score
 from ..sources import usfm
 from .fixture import SQL, configs, dataset, set_up
@@ -684,3 +684,106 @@ def corpus_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lock of an edition's import, but for the digests of the files, which no SQL has."""
     files = _marked_up(spark, sf_dir)
     return usfm.lock(files, usfm.import_edition(files, "ed_a"), "ed_a", "2000", "https://example.org/s").select("translation", "edition", "reference_count", "corpus_sha256")
+
+
+_REQUESTS = """WITH ev AS (SELECT user_id AS run, event_id, epoch_ms(ts) AS ms, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS place, 300 + event_id % 50 AS reserved, floor(abs(value))::BIGINT AS observed FROM events),
+res AS (SELECT run, place, reserved, ms, 4 * event_id AS seq FROM ev),
+stl AS (SELECT run, place, ms + event_id % 5 * 20000 + 5 AS ms, 4 * event_id + 2 AS seq, CASE WHEN event_id % 7 <> 0 THEN observed END AS observed FROM ev WHERE event_id % 9 <> 0),
+rsm AS (SELECT run, ms + 30000 AS ms, 4 * event_id + 1 AS seq FROM ev WHERE event_id % 13 = 0),
+m AS (SELECT r.*, s.ms AS s_ms, s.seq AS s_seq, s.observed, coalesce(s.ms < r.ms + 60000 AND NOT EXISTS (SELECT 1 FROM rsm q WHERE q.run = r.run AND (q.ms, q.seq) > (r.ms, r.seq) AND (q.ms, q.seq) < (s.ms, s.seq)), false) AS good FROM res r LEFT JOIN stl s USING (run, place)),
+c AS (SELECT *, CASE WHEN good THEN coalesce(observed, reserved) ELSE reserved END AS charged FROM m)
+"""
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of requests: settled late, never, or without a known cost, by event; some runs resume in between."""
+    from pyspark.sql import Window
+
+    n = F.col("event_id")
+    own = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("place", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("int"))
+    none = F.lit(None).cast("long")
+    kinds = F.array(
+        F.struct(F.lit("reserve").alias("kind"), F.lit(0).alias("by"), (4 * n).alias("seq"), (300 + n % 50).alias("reserved"), none.alias("observed")),
+        F.when(n % 9 != 0, F.struct(F.lit("settle").alias("kind"), (n % 5 * 20000 + 5).cast("int").alias("by"), (4 * n + 2).alias("seq"), none.alias("reserved"), F.when(n % 7 != 0, F.floor(F.abs("value"))).alias("observed"))),
+        F.when(n % 13 == 0, F.struct(F.lit("resume").alias("kind"), F.lit(30000).alias("by"), (4 * n + 1).alias("seq"), none.alias("reserved"), none.alias("observed"))),
+    )
+    rows = own.select("user_id", "ts", "place", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("e"))
+    at = F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp")) + F.col("e.by"))
+    return rows.select(F.col("user_id").alias("run"), at.alias("at"), "e.seq", "e.kind", "place", F.concat(F.lit("c"), F.col("place").cast("string")).alias("case_id"), "e.reserved", "e.observed")
+
+
+@query(_REQUESTS + f"""SELECT run, place, 'c' || place AS case_id, CASE WHEN NOT good THEN 'interrupted' WHEN observed IS NULL THEN 'uncertain' ELSE 'settled' END AS state, charged, NOT good OR observed IS NULL AS reservation_retained,
+ CASE WHEN good THEN (SELECT sum(reserved) FROM res r WHERE r.run = c.run AND (r.ms, r.seq) <= (c.s_ms, c.s_seq)) + (SELECT sum(d.charged - d.reserved) FROM c d WHERE d.run = c.run AND d.good AND (d.s_ms, d.s_seq) <= (c.s_ms, c.s_seq)) END::BIGINT AS account,
+ CASE WHEN NOT good THEN '{ledger.INTERRUPTED}' END AS error FROM c""", fixture=False)
+def interrupted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.requests(_requests(spark, sf_dir), 60_000)
+
+
+_STEPS = """WITH p AS (SELECT conv_id AS session, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS p, text, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+ev AS (SELECT session, n, 4 * p AS seq, 'issue' AS kind, NULL::VARCHAR AS c, NULL::VARCHAR AS a FROM p WHERE (session + p) % 7 <> 3
+ UNION ALL SELECT session, n, 4 * p + 1, 'answer', 'c' || (p + ((session + p) % 5 = 0)::INT), text FROM p
+ UNION ALL SELECT session, n, 4 * p + 2, 'answer', 'c' || p, text || CASE WHEN p % 2 = 1 THEN 'x' ELSE '' END FROM p WHERE p % 3 = 0
+ UNION ALL SELECT session, n, 4 * p + 3, 'finish', NULL, NULL FROM p WHERE p % 4 = 3 OR p = n - 1),
+l AS (SELECT session, any_value(n) AS n, list({'seq': seq, 'kind': kind, 'c': c, 'a': a, 'done': 0::BIGINT, 'pending': false, 'fin': false, 'told': []::STRUCT(c VARCHAR, a VARCHAR)[], 'out': []::STRUCT(seq BIGINT, kind VARCHAR, c VARCHAR, o VARCHAR)[]} ORDER BY seq) AS events FROM ev GROUP BY 1),
+o AS (SELECT session, list_reduce(list_prepend({'seq': -1::BIGINT, 'kind': '', 'c': NULL::VARCHAR, 'a': NULL::VARCHAR, 'done': 0::BIGINT, 'pending': false, 'fin': false, 'told': []::STRUCT(c VARCHAR, a VARCHAR)[], 'out': []::STRUCT(seq BIGINT, kind VARCHAR, c VARCHAR, o VARCHAR)[]}, events), lambda s, e: {'seq': e.seq, 'kind': e.kind, 'c': e.c, 'a': e.a,
+ 'done': s.done + (e.kind = 'answer' AND length(e.a) <= 16384 AND len(list_filter(s.told, lambda t: t.c = e.c)) = 0 AND s.pending AND s.done < n AND e.c = 'c' || s.done)::INT,
+ 'pending': CASE WHEN e.kind = 'issue' THEN s.pending OR (s.done < n AND NOT s.fin) WHEN e.kind = 'answer' AND length(e.a) <= 16384 AND len(list_filter(s.told, lambda t: t.c = e.c)) = 0 AND e.c = 'c' || s.done THEN false ELSE s.pending END,
+ 'fin': s.fin OR (e.kind = 'finish' AND s.done >= n),
+ 'told': CASE WHEN e.kind = 'answer' AND length(e.a) <= 16384 AND len(list_filter(s.told, lambda t: t.c = e.c)) = 0 AND s.pending AND s.done < n AND e.c = 'c' || s.done THEN list_append(s.told, {'c': e.c, 'a': e.a}) ELSE s.told END,
+ 'out': list_append(s.out, {'seq': e.seq, 'kind': e.kind, 'c': CASE WHEN e.kind = 'answer' THEN e.c WHEN e.kind = 'issue' AND (s.pending OR (s.done < n AND NOT s.fin)) THEN 'c' || s.done END,
+  'o': CASE WHEN e.kind = 'issue' THEN CASE WHEN s.pending OR (s.done < n AND NOT s.fin) THEN 'issued' ELSE 'complete' END WHEN e.kind = 'finish' THEN CASE WHEN s.fin OR s.done >= n THEN 'finished' ELSE 'incomplete' END
+   WHEN length(e.a) > 16384 THEN 'too_long' WHEN len(list_filter(s.told, lambda t: t.c = e.c)) > 0 THEN CASE WHEN len(list_filter(s.told, lambda t: t.c = e.c AND t.a = e.a)) > 0 THEN 'repeated' ELSE 'conflict' END
+   WHEN NOT s.pending OR e.c <> 'c' || s.done THEN 'not_issued' ELSE 'accepted' END})}).out AS out FROM l)
+SELECT session, x.seq AS seq, x.kind AS kind, x.c AS case_id, x.o AS outcome FROM (SELECT session, unnest(out) AS x FROM o)"""
+
+
+def _desks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sessions over conversations, a case a turn: some cases are not issued, some answers are to the next case, some come twice, alike or not."""
+    from pyspark.sql import Window
+
+    session = Window.partitionBy("conv_id")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("session"), "text", (F.row_number().over(session.orderBy("turn")) - 1).cast("long").alias("p"), F.count(F.lit(1)).over(session).alias("n"))
+    p, s, none = F.col("p"), F.col("session"), F.lit(None).cast("string")
+    event = lambda k, kind, case, answer: F.struct((4 * p + k).alias("seq"), F.lit(kind).alias("kind"), case.alias("case_id"), answer.alias("answer"))
+    case = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    events = F.array(
+        F.when((s + p) % 7 != 3, event(0, "issue", none, none)), event(1, "answer", case(p + ((s + p) % 5 == 0).cast("int")), F.col("text")),
+        F.when(p % 3 == 0, event(2, "answer", case(p), F.concat("text", F.when(p % 2 == 1, "x").otherwise("")))), F.when((p % 4 == 3) | (p == F.col("n") - 1), event(3, "finish", none, none)),
+    )
+    log = rows.select("session", F.explode(F.filter(events, lambda x: x.isNotNull())).alias("e")).select("session", "e.*")
+    return log, rows.select("session", p.alias("place"), case(p).alias("case_id"))
+
+
+@query(_STEPS, fixture=False)
+def session_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.steps(*_desks(spark, sf_dir))
+
+
+_SWITCHES = """WITH ev AS (SELECT user_id % 7 AS server, event_id AS seq, ['begin', 'begin', 'resume', 'progress', 'progress', 'progress', 'finish', 'finish'][(event_id * 5 // 3 % 8)::INT + 1] AS kind, 'r' || user_id % 3 AS run, 's' || event_id % 2 AS settings,
+ event_id // 8 % 3 = 0 AS saved, ['fresh', 'busy', 'finished'][(event_id % 3)::INT + 1] AS progress, event_id % 4 <> 0 AS complete FROM events),
+l AS (SELECT server, list({'seq': seq, 'kind': kind, 'run': run, 'settings': settings, 'saved': saved, 'progress': progress, 'complete': complete, 'a': NULL::VARCHAR, 't': NULL::VARCHAR, 'far': NULL::VARCHAR, 'o': ''} ORDER BY seq) AS events FROM ev GROUP BY 1),
+o AS (SELECT server, list_reduce(list_prepend([{'seq': -1::BIGINT, 'kind': '', 'run': '', 'settings': '', 'saved': false, 'progress': '', 'complete': false, 'a': NULL::VARCHAR, 't': NULL::VARCHAR, 'far': NULL::VARCHAR, 'o': ''}], list_transform(events, lambda e: [e])), lambda h, q: list_append(h, {'seq': q[1].seq, 'kind': q[1].kind, 'run': q[1].run, 'settings': q[1].settings, 'saved': q[1].saved, 'progress': q[1].progress, 'complete': q[1].complete,
+ 'a': CASE WHEN q[1].kind IN ('begin', 'resume') AND h[-1].a IS DISTINCT FROM q[1].run AND h[-1].far IS DISTINCT FROM 'busy' AND (q[1].kind = 'begin') <> q[1].saved THEN q[1].run ELSE h[-1].a END,
+ 't': CASE WHEN q[1].kind IN ('begin', 'resume') AND h[-1].a IS DISTINCT FROM q[1].run AND h[-1].far IS DISTINCT FROM 'busy' AND (q[1].kind = 'begin') <> q[1].saved THEN q[1].settings ELSE h[-1].t END,
+ 'far': CASE WHEN q[1].kind IN ('begin', 'resume') THEN CASE WHEN h[-1].a IS DISTINCT FROM q[1].run AND h[-1].far IS DISTINCT FROM 'busy' AND (q[1].kind = 'begin') <> q[1].saved THEN CASE WHEN q[1].kind = 'begin' THEN 'fresh' ELSE q[1].progress END ELSE h[-1].far END
+   WHEN h[-1].a IS NULL OR h[-1].far = 'finished' THEN h[-1].far WHEN q[1].kind = 'progress' THEN 'busy' WHEN q[1].complete THEN 'finished' ELSE h[-1].far END,
+ 'o': CASE WHEN q[1].kind IN ('begin', 'resume') THEN CASE WHEN h[-1].a = q[1].run THEN CASE WHEN q[1].kind = 'begin' AND h[-1].t <> q[1].settings THEN 'settings_differ' ELSE 'same' END WHEN h[-1].far = 'busy' THEN 'busy'
+   WHEN q[1].kind = 'begin' THEN CASE WHEN q[1].saved THEN 'run_exists' ELSE 'opened' END ELSE CASE WHEN q[1].saved THEN 'resumed' ELSE 'unknown_run' END END
+   WHEN h[-1].a IS NULL THEN 'no_trial' WHEN q[1].kind = 'progress' THEN CASE WHEN h[-1].far = 'finished' THEN 'done' ELSE 'progress' END WHEN h[-1].far = 'finished' OR q[1].complete THEN 'finished' ELSE 'incomplete' END})) AS out FROM l)
+SELECT server, x.seq AS seq, x.kind AS kind, x.run AS run, x.o AS outcome, x.a AS active, x.far AS state FROM (SELECT server, unnest(out[2:]) AS x FROM o)"""
+
+
+def _switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of seven servers over three runs each, with begins of runs that exist, resumes of those that do not, other settings, and switches away from trials underway."""
+    n, u = F.col("event_id"), F.col("user_id")
+    pick = lambda names, k: F.get(F.array(*map(F.lit, names)), k.cast("int"))
+    kind = pick(("begin", "begin", "resume", "progress", "progress", "progress", "finish", "finish"), F.floor(n * 5 / 3) % 8)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        (u % 7).alias("server"), n.alias("seq"), kind.alias("kind"), F.concat(F.lit("r"), (u % 3).cast("string")).alias("run"), F.concat(F.lit("s"), (n % 2).cast("string")).alias("settings"),
+        (F.floor(n / 8) % 3 == 0).alias("saved"), pick(("fresh", "busy", "finished"), n % 3).alias("progress"), (n % 4 != 0).alias("complete"),
+    )
+
+
+@query(_SWITCHES, fixture=False)
+def trial_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return switching.judged(_switches(spark, sf_dir))
