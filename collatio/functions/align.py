@@ -107,3 +107,84 @@ def difference(expected: str, output: str) -> str:
 @pandas_udf(T.StringType())
 def word_diff(expected: pd.Series, output: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else difference(a, b) for a, b in zip(expected, output, strict=True)])
+
+
+class _Runs:
+    """Every run of words in a list, as an automaton whose states know the first place where their runs end."""
+
+    def __init__(self, text: list):
+        self.next: list[dict] = [{}]
+        self.link, self.length, self.ends = [-1], [0], [-1]
+        last = 0
+        for at, word in enumerate(text):
+            now, p = self._state(self.length[last] + 1, at, {}), last
+            while p >= 0 and word not in self.next[p]:
+                self.next[p][word] = now
+                p = self.link[p]
+            if p < 0:
+                self.link[now] = 0
+            elif self.length[q := self.next[p][word]] == self.length[p] + 1:
+                self.link[now] = q
+            else:
+                copy = self._state(self.length[p] + 1, self.ends[q], dict(self.next[q]))
+                self.link[copy] = self.link[q]
+                while p >= 0 and self.next[p].get(word) == q:
+                    self.next[p][word] = copy
+                    p = self.link[p]
+                self.link[q] = self.link[now] = copy
+            last = now
+
+    def _state(self, length: int, end: int, steps: dict) -> int:
+        self.next.append(steps)
+        self.link.append(0)
+        self.length.append(length)
+        self.ends.append(end)
+        return len(self.next) - 1
+
+    def longest(self, other: list) -> tuple[int, int, int]:
+        """Where the longest common run begins in `other` and in the list, and its length: the first in `other`, then in the list."""
+        best, state, n = (0, 0, 0), 0, 0
+        for at, word in enumerate(other):
+            while state and word not in self.next[state]:
+                state = self.link[state]
+                n = self.length[state]
+            if word in self.next[state]:
+                state, n = self.next[state][word], n + 1
+            if n > best[2]:
+                best = (at - n + 1, self.ends[state] - n + 1, n)
+        return best
+
+
+def common_runs(left: list, right: list) -> list[tuple[int, int, int]]:
+    """The longest common run, then those to its left and right, and so on: (begin left, begin right, length) in order."""
+    out, open_ = [], [(0, len(left), 0, len(right))]
+    while open_:
+        a, b, c, d = open_.pop()
+        if a == b or c == d:
+            continue
+        i, j, n = _Runs(right[c:d]).longest(left[a:b])
+        if n:
+            out.append((a + i, c + j, n))
+            open_ += [(a, a + i, c, c + j), (a + i + n, b, c + j + n, d)]
+    return sorted(out)
+
+
+def changed_words(expected: str, output: str) -> tuple[list[tuple[str, bool]], list[tuple[str, bool]]]:
+    """White-space tokens of both, each with whether it stands outside of the common runs. For display; scores go by edits."""
+    left, right = expected.split(), output.split()
+    same: tuple[set[int], set[int]] = (set(), set())
+    for i, j, n in common_runs(left, right):
+        same[0].update(range(i, i + n))
+        same[1].update(range(j, j + n))
+    return [(w, k not in same[0]) for k, w in enumerate(left)], [(w, k not in same[1]) for k, w in enumerate(right)]
+
+
+_SIDE = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("changed", T.BooleanType())]))
+
+
+@pandas_udf(T.StructType([T.StructField("expected", _SIDE), T.StructField("output", _SIDE)]))
+def display_alignment(expected: pd.Series, output: pd.Series) -> pd.DataFrame:
+    """Both texts' tokens with marks for what changed; null where either is."""
+    sides = [(None, None) if a is None or b is None else changed_words(a, b) for a, b in zip(expected, output, strict=True)]
+    named = lambda side: None if side is None else [{"word": w, "changed": c} for w, c in side]
+    return pd.DataFrame({"expected": [named(a) for a, _ in sides], "output": [named(b) for _, b in sides]})

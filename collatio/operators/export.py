@@ -15,6 +15,8 @@ from .runs import EVIDENCE, SCHEMA_VERSION, Analysis
 
 #: The tracks that an analysis may have.
 TRACKS = ("canonical", "concise", "word_for_word", "copy_control", "passage")
+#: Fixed value: resamples that an interval needs.
+LEAST_RESAMPLES = 100
 NOTES = (
     "Intervals are 95% percentile intervals of a stratified bootstrap over references; editions and repetitions of a reference stay together.",
     "Intervals of pairs are exploratory and not adjusted for many comparisons.",
@@ -29,7 +31,7 @@ def study_report(found: Analysis) -> dict:
     for r in found.models.orderBy("identity").collect():
         own = r.asDict()
         name = own.pop("identity")
-        models[name] = {k: v for k, v in own.items() if not k.startswith(_METRICS)} | {m: {k: own[f"{m}_{k}"] for k in ("estimate", "lower", "upper", "clusters")} for m in _METRICS}
+        models[name] = {k: v for k, v in own.items() if not k.startswith(_METRICS)} | {m: {k: own[f"{m}_{k}"] for k in ("estimate", "lower", "upper", "clusters", "resamples")} for m in _METRICS}
         models[name]["groups"] = {}
     for r in found.groups.orderBy("identity", "requested_translation", "stratum").collect():
         own = r.asDict()
@@ -52,7 +54,7 @@ def artifact_faults(study: dict) -> list[str]:
         for metric in _METRICS:
             i = m.get(metric) or {}
             values = [i.get(k) for k in ("estimate", "lower", "upper")]
-            if not i.get("clusters") or any(v is None or not math.isfinite(v) or not 0 <= v <= 1 for v in values) or values[1] > values[2]:
+            if not i.get("clusters") or (i.get("resamples") or 0) < LEAST_RESAMPLES or any(v is None or not math.isfinite(v) or not 0 <= v <= 1 for v in values) or values[1] > values[2]:
                 faults.append(f"{name}: invalid interval of {metric}")
     return faults
 
@@ -93,7 +95,7 @@ def study_markdown(study: dict, found: Analysis | None = None) -> str:
 
 
 def script_safe(value: object) -> str:
-    """JSON that may stand inside a script element."""
+    """JSON that may stand inside a script element. The characters and what stands for them."""
     out = json.dumps(value, ensure_ascii=False)
     for raw, safe in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), (" ", "\\u2028"), (" ", "\\u2029")):
         out = out.replace(raw, safe)

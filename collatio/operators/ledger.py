@@ -23,6 +23,13 @@ def reservation(prompt: Column, max_output: Column | int, input_price: Column |
     return cost(F.octet_length(prompt) + FRAMING, max_output if isinstance(max_output, Column) else F.lit(max_output), input_price, output_price)
 
 
+def upper_bound(reservations: DataFrame, limit: int, *by: str) -> DataFrame:
+    """What a dry run may cost at most: `requests`, the sum of `reserved`, and whether it is `within` the limit. A sum beyond 38 digits is null, and not within."""
+    found = reservations.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"), F.try_sum(F.col("reserved").cast("decimal(38,0)")).cast("decimal(38,0)").alias("reserved"))
+    none = (F.col("requests") == 0) | (F.col("reserved") <= F.lit(limit).cast("decimal(38,0)"))
+    return found.withColumn("within", F.coalesce(none, F.lit(False)))
+
+
 def settlement(log: DataFrame, limit: int) -> DataFrame:
     """Each request of a run in order (`run`, `seq`, `reserved`, `observed`, `failed`): charge, running account, outcome.
 

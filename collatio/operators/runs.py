@@ -214,7 +214,7 @@ def analyze(cases: DataFrame, references: DataFrame, editions: DataFrame, manife
     # Kept by the session, as every table below reads the scores; lost blocks are computed again.
     scores = score_all(responses, cases, references).join(named.select("provider", "model", "run_id", "identity"), ["provider", "model", "run_id"]).persist()  # a row a run
     parts = [bootstrap(cluster_means(scores, flag, "identity"), resamples, "identity").withColumn("metric", F.lit(flag)) for flag in ("exact_text", "exact_words")]
-    intervals = reduce(DataFrame.unionByName, parts).groupBy("identity").pivot("metric", ["exact_text", "exact_words"]).agg(F.first("estimate").alias("estimate"), F.first("lower").alias("lower"), F.first("upper").alias("upper"), F.first("clusters").alias("clusters"))
+    intervals = reduce(DataFrame.unionByName, parts).groupBy("identity").pivot("metric", ["exact_text", "exact_words"]).agg(F.first("estimate").alias("estimate"), F.first("lower").alias("lower"), F.first("upper").alias("upper"), F.first("clusters").alias("clusters"), F.first("resamples").alias("resamples"))
     failed = F.col("classification") == "provider_error"
     figures = scores.groupBy("identity").agg(
         F.countDistinct("run_id").alias("repetitions"), F.countDistinct("case_id").alias("cases_per_run"), F.avg(failed.cast("double")).alias("provider_error_rate"), F.avg(F.when(~failed, F.col("exact_text").cast("double"))).alias("recall")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_unicode
@@ -86,6 +86,12 @@ def trial_totals(responses: DataFrame) -> DataFrame:
     return responses.groupBy("session").agg(F.count(F.lit(1)).alias("answers"), F.coalesce(F.sum(F.char_length("output")), F.lit(0)).alias("chars"), total("execution.input_tokens").alias("input_tokens"), total("execution.output_tokens").alias("output_tokens"), total("execution.accounted_nanoeur").alias("accounted_nanoeur"))
 
 
+def edit_totals(scores: DataFrame, *by: str | Column) -> DataFrame:
+    """Insertions, deletions and substitutions of scores in all, with the words they are counted against; absent counts as nothing."""
+    total = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c)
+    return scores.groupBy(*by).agg(F.count(F.lit(1)).alias("responses"), *(total(c) for c in ("insertions", "deletions", "substitutions")))
+
+
 def resume_place(ledger: DataFrame, plan: DataFrame) -> DataFrame:
     """Where each session goes on: its ledger (`session`, `place`, `case_id`) has to be a prefix of its plan. `next`, and `broken` if it is not."""
     w = Window.partitionBy("session").orderBy("place")

@@ -10,16 +10,45 @@ from pyspark.sql import functions as F
 from ..functions.text import ref_label, trim_unicode
 from .scoring import KEY, other_key, same_reference
 
+#: Fixed value: the catalog's version.
+CATALOG_VERSION = 1
 #: Attributes that stay behind when markup is not cleaned.
 MARKUP = ("strong=", "lemma=", "x-morph=", "x-occurrence=")
 
 
+#: Of each rule, in the order in which a file's record is looked at: its number, and its file's (the catalog comes first).
+RULES = (
+    "catalog_version", "catalog_none", "case_none", "reference_none",
+    "catalog_empty_id", "catalog_duplicate_id", "catalog_unpinned", "catalog_urls", "catalog_license",
+    "reference_invalid", "reference_unknown_edition", "reference_empty", "reference_edges", "reference_markup", "reference_duplicate",
+    "case_empty_id", "case_duplicate_id", "case_invalid", "case_unknown_edition", "case_without_text", "case_twice",
+)
+
+
 def _found(rows: DataFrame, rule: str, when: Column, subject: Column, reason: str) -> DataFrame:
-    return rows.filter(when).select(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"), F.lit(reason).alias("reason"))
+    return rows.filter(when).select(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"), F.lit(reason).alias("reason"), _place(rows))
+
+
+def _place(rows: DataFrame) -> Column:
+    """A record's place in its file, where it has one."""
+    return (F.col("ord").cast("long") if "ord" in rows.columns else F.lit(None).cast("long")).alias("ord")
 
 
 def _twice(rows: DataFrame, rule: str, keys: list[Column], subject: Column, reason: str) -> DataFrame:
-    return _found(rows.withColumn("__s", subject).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__s").alias("s")), rule, F.col("n") > 1, F.col("s"), reason)
+    """Keys given more than once, at the place where one comes again. Only such keys' records are joined for it."""
+    own = rows.select(*(k.alias(f"__k{n}") for n, k in enumerate(keys)), subject.alias("__s"), _place(rows))
+    names = [f"__k{n}" for n in range(len(keys))]
+    again = own.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("__s").alias("s"), F.min("ord").alias("first")).filter("n > 1")
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}"))
+    later = own.alias("l").join(again.alias("r"), same & (F.col("l.ord") > F.col("r.first"))).groupBy(*(F.col(f"r.{n}") for n in names)).agg(F.min("l.ord").alias("ord"))
+    placed = again if "ord" not in rows.columns else again.alias("l").join(later.alias("r"), same, "left").select("l.s", "r.ord")
+    return _found(placed, rule, F.lit(True), F.col("s"), reason)
+
+
+def _none(rows: DataFrame, rule: str, reason: str) -> DataFrame:
+    return _found(rows.limit(1).agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("ord")), rule, F.col("n") == 0, F.lit(""), reason)
 
 
 def _all(*frames: DataFrame) -> DataFrame:
@@ -44,10 +73,13 @@ def reference_fault() -> Column:
     )
 
 
-def catalog_violations(editions: DataFrame) -> DataFrame:
+def catalog_violations(editions: DataFrame, schema_version: int | None = None) -> DataFrame:
     """Of `id`, `edition`, `license_kind`, `license_url`, `source_url`, `redistribute_reference_text`."""
     own = F.col("id")
+    version = [] if schema_version in (None, CATALOG_VERSION) else [_found(editions.sparkSession.range(1).select(F.lit(0).alias("ord")), "catalog_version", F.lit(True), F.lit(str(schema_version)), "unsupported catalog version")]
     return _all(
+        *version,
+        _none(editions, "catalog_none", "the catalog needs an edition"),
         _found(editions, "catalog_empty_id", blank("id"), own, "edition id must not be empty"),
         _twice(editions, "catalog_duplicate_id", [own], own, "duplicate edition id"),
         _found(editions, "catalog_unpinned", blank("edition"), own, "edition is not pinned"),
@@ -64,7 +96,8 @@ def reference_violations(references: DataFrame, editions: DataFrame) -> DataFram
     known = editions.select(F.col("id").alias("translation"))
     fault = references.withColumn("__fault", reference_fault()).filter("__fault is not null")
     return _all(
-        fault.select(F.lit("reference_invalid").alias("rule"), own.alias("subject"), F.col("__fault").alias("reason")),
+        _none(references, "reference_none", "the corpus needs a record"),
+        fault.select(F.lit("reference_invalid").alias("rule"), own.alias("subject"), F.col("__fault").alias("reason"), _place(fault)),
         _found(references.join(known, "translation", "left_anti"), "reference_unknown_edition", F.lit(True), own, "unknown edition"),
         _found(references, "reference_empty", F.col("text") == "", own, "empty text"),
         _found(references, "reference_edges", trim_unicode(F.col("text")) != F.col("text"), own, "white space at an edge"),
@@ -79,22 +112,34 @@ def case_violations(cases: DataFrame, references: DataFrame, editions: DataFrame
     missing = cases.join(other_key(texts), same_reference() & (F.col("translation") == F.col("__edition")), "left_anti")
     fault = cases.withColumn("__fault", reference_fault()).filter("__fault is not null")
     return _all(
+        _none(cases, "case_none", "the dataset needs a case"),
         _found(cases, "case_empty_id", blank("case_id"), own, "case id must not be empty"),
         _twice(cases, "case_duplicate_id", [own], own, "duplicate case id"),
-        fault.select(F.lit("case_invalid").alias("rule"), own.alias("subject"), F.col("__fault").alias("reason")),
+        fault.select(F.lit("case_invalid").alias("rule"), own.alias("subject"), F.col("__fault").alias("reason"), _place(fault)),
         _found(cases.join(known, "translation", "left_anti"), "case_unknown_edition", F.lit(True), own, "unknown edition"),
         _found(missing, "case_without_text", F.lit(True), own, "no reference text"),
         _twice(cases, "case_twice", [F.col(c) for c in ("translation", *KEY)], own, "more than one case"),
     )
 
 
-def dataset_violations(cases: DataFrame, references: DataFrame, editions: DataFrame) -> DataFrame:
-    return _all(catalog_violations(editions), reference_violations(references, editions), case_violations(cases, references, editions))
+def dataset_violations(cases: DataFrame, references: DataFrame, editions: DataFrame, schema_version: int | None = None) -> DataFrame:
+    """All violations: `rule`, `subject`, `reason`, and `ord`, the record's place in its file, where files have `ord`."""
+    return _all(catalog_violations(editions, schema_version), reference_violations(references, editions), case_violations(cases, references, editions))
+
+
+def first_violation(violations: DataFrame) -> DataFrame:
+    """The violation that reading the files in order meets first, as one row or none: what concerns a file as a whole, then
+    catalog, references and cases, each by record and within it by rule. One pass, without a sort."""
+    number = F.array_position(F.array(*map(F.lit, RULES)), F.col("rule"))
+    file = F.when(number <= 4, 0).when(F.col("rule").startswith("catalog"), 1).when(F.col("rule").startswith("reference"), 2).otherwise(3)
+    place = F.when(number <= 4, number.cast("long")).otherwise(F.coalesce("ord", F.lit(2**62)))
+    order = F.struct(file.alias("file"), place.alias("place"), number.alias("rule"), F.col("subject").alias("subject"))
+    return violations.agg(F.min_by(F.struct("rule", "subject", "reason", "ord"), order).alias("v")).filter("v is not null").select("v.*")
 
 
 def require_valid(violations: DataFrame) -> None:
-    """Raises on the first violation in order of rule and subject."""
-    if first := violations.orderBy("rule", "subject").first():
+    """Raises on the first violation in the order of files."""
+    if first := first_violation(violations).first():
         raise ValueError(f"{first['rule']}: {first['subject']}: {first['reason']}")
 
 

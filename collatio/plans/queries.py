@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import providers
-from ..functions.align import word_diff
+from ..functions.align import display_alignment, word_diff
 from ..functions.digests import json_text, ordered_digest
 from ..functions.text import contains_contiguous, ref_label, words
-from ..operators import guard, ledger, pilot, prompts, report, runs, sampling, selection, sessions, statistics, study, switching, trials, validation
+from ..operators import audit, bags, guard, ledger, pilot, prompts, report, runs, sampling, selection, sessions, statistics, study, switching, trials, validation
 from ..operators.scoring import KEY, score
 from ..sources import usfm
 from .fixture import SQL, configs, dataset, set_up
@@ -288,8 +288,8 @@ def _analysis(spark: SparkSession, sf_dir: str) -> runs.Analysis:
 
 @query(
     _BOOT.replace("{clusters}", "SELECT identity || ';' || metric AS k, stratum, ref_label, avg(flag::INT) AS value FROM (SELECT provider, model, run_id, stratum, ref_label, 'exact_text' AS metric, exact_text AS flag FROM scores UNION ALL SELECT provider, model, run_id, stratum, ref_label, 'exact_words', exact_words FROM scores) JOIN idn USING (provider, model, run_id) GROUP BY 1, 2, 3").replace(", cl AS", _IDENTITY + ", cl AS", 1)
-    + """SELECT identity, repetitions, cases_per_run, provider_error_rate, recall, t.estimate AS exact_text_estimate, t.lower AS exact_text_lower, t.upper AS exact_text_upper, t.clusters AS exact_text_clusters,
- w.estimate AS exact_words_estimate, w.lower AS exact_words_lower, w.upper AS exact_words_upper, w.clusters AS exact_words_clusters, differing_responses, differing_exact_text
+    + """SELECT identity, repetitions, cases_per_run, provider_error_rate, recall, t.estimate AS exact_text_estimate, t.lower AS exact_text_lower, t.upper AS exact_text_upper, t.clusters AS exact_text_clusters, t.resamples AS exact_text_resamples,
+ w.estimate AS exact_words_estimate, w.lower AS exact_words_lower, w.upper AS exact_words_upper, w.clusters AS exact_words_clusters, w.resamples AS exact_words_resamples, differing_responses, differing_exact_text
  FROM (SELECT identity, count(DISTINCT run_id) AS repetitions, count(DISTINCT case_id) AS cases_per_run, round(avg((classification = 'provider_error')::INT), 6) AS provider_error_rate, round(avg(exact_text::INT) FILTER (WHERE classification <> 'provider_error'), 6) AS recall FROM scores JOIN idn USING (provider, model, run_id) GROUP BY 1)
  JOIN ci t ON t.k = identity || ';exact_text' JOIN ci w ON w.k = identity || ';exact_words'
  JOIN (SELECT identity, count(*) AS differing_responses, round(avg(exact_text::INT), 6) AS differing_exact_text FROM scores JOIN idn USING (provider, model, run_id) WHERE ref_label IN (SELECT ref_label FROM cases GROUP BY 1 HAVING count(DISTINCT text) > 1) GROUP BY 1) USING (identity)"""
@@ -787,3 +787,86 @@ def _switches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SWITCHES, fixture=False)
 def trial_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return switching.judged(_switches(spark, sf_dir))
+
+
+_USAGE = "event_id % 5 AS input_tokens, event_id % 3 AS output_tokens, event_id % 2 AS cache_read_tokens, CASE WHEN event_id % 11 > 0 THEN 0 END AS cache_write_tokens"
+
+
+def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", *_USAGE.split(", "))
+
+
+@query(f"""WITH u AS (SELECT {_USAGE}, (event_id % 4 <> 1)::INT AS l, (event_id % 6 <> 2)::INT AS r FROM events), b AS (SELECT input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, sum(l)::BIGINT AS l, sum(r)::BIGINT AS r FROM u WHERE l + r > 0 GROUP BY 1, 2, 3, 4)
+SELECT input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, least(l, r) AS matched, greatest(l - r, 0) AS left_surplus, greatest(r - l, 0) AS right_surplus FROM b""", fixture=False)
+def usage_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client's counters against an account's export, each short of some rows, as bags."""
+    rows = _usage(spark, sf_dir)
+    return bags.balance(rows.filter("event_id % 4 <> 1"), rows.filter("event_id % 6 <> 2"), bags.COUNTERS)
+
+
+@query(f"""WITH u AS (SELECT {_USAGE}, (event_id % 4 <> 1)::INT AS l, (event_id % 6 <> 2)::INT AS r FROM events), b AS (SELECT input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, sum(l) AS l, sum(r) AS r FROM u WHERE l + r > 0 GROUP BY 1, 2, 3, 4)
+SELECT input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, copy, copy < l AS in_left, copy < r AS in_right FROM (SELECT *, unnest(range(0, greatest(l, r)::BIGINT)) AS copy FROM b)""", fixture=False)
+def usage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same copy by copy: every row of either side, with whether the other has its like."""
+    rows = _usage(spark, sf_dir)
+    found = bags.paired(rows.filter("event_id % 4 <> 1"), rows.filter("event_id % 6 <> 2"), bags.COUNTERS, "event_id", "event_id")
+    return found.select(*bags.COUNTERS, "copy", F.col("left_id").isNotNull().alias("in_left"), F.col("right_id").isNotNull().alias("in_right"))
+
+
+_OFF = "abs({a} - {b}) > greatest(1e-12, 1e-9 * greatest(abs({a}), abs({b})))"
+
+
+@query(f""", au AS (SELECT run_id AS trial, case_id, ord, requested_translation, word_error_rate + CASE WHEN ord % 31 = 5 THEN 0.01 ELSE 0 END AS wer, word_accuracy + CASE WHEN ord % 37 = 6 THEN 0.25 ELSE 0 END AS acc, (insertions + deletions + substitutions) / len(expected) AS again, exact_text FROM scores),
+tr AS (SELECT trial, count(*) AS n, avg(acc) AS mean, avg(exact_text::INT) AS rate FROM au GROUP BY 1),
+sv AS (SELECT trial, n + (trial = 'a-0')::INT AS s_n, mean + CASE trial WHEN 'a-1' THEN 0.001 ELSE 0 END AS s_mean, rate + CASE trial WHEN 'b-1' THEN 0.5 ELSE 0 END AS s_rate, CASE trial WHEN 'a-2' THEN 'rumour' ELSE 'interactive_mcp' END AS evidence, * EXCLUDE (trial) FROM tr)
+SELECT trial, 'commitment' AS rule, case_id AS subject FROM au WHERE ord % 29 = 3 UNION ALL SELECT trial, 'word_error_rate', case_id FROM au WHERE {_OFF.format(a="again", b="wer")}
+UNION ALL SELECT trial, 'word_accuracy', case_id FROM au WHERE {_OFF.format(a="greatest(0, 1 - wer)", b="acc")} UNION ALL SELECT trial, 'identity', case_id FROM au WHERE ord % 41 = 7
+UNION ALL SELECT trial, 'license', case_id FROM au WHERE requested_translation = 'ed_c' UNION ALL SELECT trial, 'order', NULL FROM sv WHERE trial = 'b-2'
+UNION ALL SELECT trial, 'evidence', NULL FROM sv WHERE evidence <> 'interactive_mcp' UNION ALL SELECT trial, 'responses', NULL FROM sv WHERE s_n <> n
+UNION ALL SELECT trial, 'mean_word_accuracy', NULL FROM sv WHERE {_OFF.format(a="mean", b="s_mean")} UNION ALL SELECT trial, 'exact_text_rate', NULL FROM sv WHERE {_OFF.format(a="rate", b="s_rate")}""")
+def trial_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs as published trials, with faults by case and by trial: outputs changed behind their digests, rates and means that are off, another prompt, a lost answer."""
+    d = dataset(spark, sf_dir)
+    run, n = F.col("trial"), F.col("place")
+    scores = score(d.responses, d.cases, d.references).join(d.cases.select("case_id", F.col("ord").alias("place")), "case_id").withColumnRenamed("run_id", "trial")
+    scores = scores.withColumns({"word_error_rate": F.col("word_error_rate") + F.when(n % 31 == 5, 0.01).otherwise(0.0), "word_accuracy": F.col("word_accuracy") + F.when(n % 37 == 6, 0.25).otherwise(0.0)})
+    given = d.responses.select(F.col("run_id").alias("trial"), F.col("ord").alias("place"), "case_id", F.when(n % 29 == 3, F.concat("output", F.lit("x"))).otherwise(F.col("output")).alias("output"))
+    cases = d.cases.withColumnRenamed("ord", "place").join(d.responses.select(F.col("run_id").alias("trial")).distinct()).withColumn("prompt_variant", F.when(n % 41 == 7, "concise").otherwise(F.col("prompt_variant")))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "case_id"))), lambda x: x["case_id"])
+    saved = scores.groupBy("trial").agg(
+        (F.count(F.lit(1)) + F.max(F.when(run == "a-0", 1).otherwise(0))).alias("responses"), (F.avg("word_accuracy") + F.max(F.when(run == "a-1", 0.001).otherwise(0.0))).alias("mean_word_accuracy"),
+        (F.avg(F.col("exact_text").cast("double")) + F.max(F.when(run == "b-1", 0.5).otherwise(0.0))).alias("exact_text_rate"), ids.alias("expected_case_ids"),
+    )
+    saved = saved.withColumn("evidence", F.when(run == "a-2", "rumour").otherwise(audit.EVIDENCE))
+    editions = d.editions.withColumn("redistribute_reference_text", F.col("id") != "ed_c")
+    return audit.bundle_faults(saved, cases, given.filter((run != "b-2") | (n != 0)), scores, d.references, editions)
+
+
+@query("SELECT model_key, count(*) AS responses, sum(insertions)::BIGINT AS insertions, sum(deletions)::BIGINT AS deletions, sum(substitutions)::BIGINT AS substitutions FROM scores GROUP BY 1")
+def edit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trials.edit_totals(scored(spark, sf_dir), report.model_key().alias("model_key"))
+
+
+@query()
+def display_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses against their texts in common runs, with how many words of each side changed."""
+    d = dataset(spark, sf_dir)
+    rows = d.responses.join(d.cases.select("case_id", F.col("text").alias("expected")), "case_id").select("case_id", "run_id", display_alignment("expected", "output").alias("a"))
+    changed = lambda side: F.size(F.filter(F.col(f"a.{side}"), lambda x: x["changed"])).cast("long")
+    return rows.select("case_id", "run_id", *(F.size(f"a.{n}").cast("long").alias(f"{n}_words") for n in ("expected", "output")), *(changed(n).alias(f"{n}_changed") for n in ("expected", "output")))
+
+
+@query(_PROMPTS + "SELECT translation, count(*) AS requests, sum((n + 4096) * 15 + 1024 * 75)::BIGINT AS reserved, sum((n + 4096) * 15 + 1024 * 75) <= 6000000 AS within FROM (SELECT translation, octet_length(encode(prompt)) AS n FROM pr JOIN cases USING (case_id) WHERE pr.prompt_variant = 'concise') GROUP BY 1")
+def dry_run_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _prompts(spark, sf_dir).filter("prompt_variant = 'concise'").select("translation", ledger.reservation(F.col("prompt"), 1024, 15, 75).alias("reserved"))
+    return ledger.upper_bound(rows, 6_000_000, "translation").withColumn("reserved", F.col("reserved").cast("long"))
+
+
+@query(r""", fr AS (SELECT * REPLACE (CASE item_id WHEN 1 THEN text || ' ' WHEN 2 THEN '\w ' || text WHEN 3 THEN '' ELSE text END AS text), translation || ' ' || ref_label AS s, 9000 - item_id * 3 - pos AS place FROM lab WHERE NOT (item_id = 4 AND pos = 2)),
+v AS (SELECT 'reference_empty' AS rule, s AS subject, place, 1 AS n FROM fr WHERE text = '' UNION ALL SELECT 'reference_edges', s, place, 2 FROM fr WHERE trim(text) <> text UNION ALL SELECT 'reference_markup', s, place, 3 FROM fr WHERE contains(text, '\'))
+SELECT rule, subject, place::BIGINT AS ord FROM v ORDER BY place, n LIMIT 1""")
+def first_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading the faulty dataset's files meets first; references stand in the file from the last item on."""
+    cases, refs, editions = _faulty(spark, sf_dir)
+    placed = refs.withColumn("ord", 9000 - F.col("item_id") * 3 - F.col("pos"))
+    return validation.first_violation(validation.dataset_violations(cases, placed, editions)).select("rule", "subject", "ord")
