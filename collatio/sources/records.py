@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,14 +24,17 @@ def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Non-blank lines with their file's place in `paths`, and their physical number from 1.
 
-    Line numbers need a file's lines in one place; these files are read whole for that (`wholetext`), so
-    large inputs should be read with `read_records`, which splits files and has no numbers.
+    Files are split like any others. A split's lines are counted, blank ones too; a line's number is its place in
+    the split behind the lines of the splits before it. Only a row a split is sorted and joined.
     """
     out = None
     for k, p in enumerate(paths):
-        # Blank lines go before lines become rows: Spark may look at a filter of the caller's, and so parse, before ours.
-        numbered = F.transform(F.split("value", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), F.regexp_replace(x, "\r$", "").alias("line")))
-        one = spark.read.text(p, wholetext=True).select(F.lit(k).alias("file"), F.inline(F.filter(numbered, lambda x: F.trim(x["line"]) != "")))
+        read = spark.read.option("lineSep", "\n").text(p)
+        own = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("nth"), F.regexp_replace("value", "\r$", "").alias("line"))
+        splits = own.groupBy("path", "begin").agg(F.min("nth").alias("first"), F.count(F.lit(1)).alias("lines"))
+        earlier = Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+        splits = splits.select("path", "begin", (F.coalesce(F.sum("lines").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift"))
+        one = own.join(splits, ["path", "begin"]).select(F.lit(k).alias("file"), (F.col("nth") + F.col("shift")).alias("line_no"), "line").filter(F.trim("line") != "")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -49,7 +52,8 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str | T.Stru
     parsed = lines.withColumn("r", F.from_json("line", T.StructType([*shape.fields, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     where = F.concat(F.lit("line "), F.col("line_no"), F.lit(" of file "), F.col("file"))
     extra = F.array_except(F.coalesce(F.json_object_keys("line"), F.array().cast("array<string>")), F.array(*(F.lit(n) for n in shape.fieldNames())))
-    fault = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), F.concat(F.lit("invalid record at "), where)).when(F.size(extra) > 0, F.concat(F.lit("unknown field at "), where))
+    # Spark may look at a filter of the caller's, and so parse, before it leaves out blank lines: those are no fault here.
+    fault = F.when(F.trim("line") == "", None).when(F.col("r").isNull() | F.col("r._bad").isNotNull(), F.concat(F.lit("invalid record at "), where)).when(F.size(extra) > 0, F.concat(F.lit("unknown field at "), where))
     checked = F.when(fault.isNotNull(), F.raise_error(fault).cast(shape)).otherwise(F.struct(*(F.col(f"r.{n}").alias(n) for n in shape.fieldNames())))
     return parsed.select("file", "line_no", checked.alias("r")).select("r.*", F.struct("file", "line_no").alias("_ord"))
 

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import io
-import zipfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.digests import file_set_digest, ordered_digest, record_json
 from ..functions.text import ref_label, trim_unicode
+from .archives import read_entries
 
 #: The importer's version, as locks have it.
 IMPORTER = "1"
@@ -54,18 +51,10 @@ def read_directory(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.regexp_replace("path", rf"^.*?\Q{root.rstrip('/')}\E/", "").alias("path"), "content")
 
 
-def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """`path` and `content` of the USFM entries of archives. An archive has to be opened as one piece, so it is the unit of work."""
-
-    def entries(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for content in frame["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in archive.namelist():
-                        if name.lower().endswith((".usfm", ".sfm")):
-                            yield pd.DataFrame({"path": [name.replace("\\", "/")], "content": [archive.read(name)]})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(entries, "path string, content binary")
+def read_zip(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """`path` and `content` of the USFM entries of archives, each entry read by itself."""
+    entries = read_entries(spark, path, (".usfm", ".sfm"))
+    return entries.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), "content")
 
 
 def parse(files: DataFrame, edition: str) -> DataFrame:
