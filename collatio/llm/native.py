@@ -60,3 +60,43 @@ def matches(text: Column, pattern: str) -> Column:
 
     found = let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: let(F.split(text, pattern, -1), lambda gaps: placed(m, gaps)))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(kind))
+
+
+def replaced(text: Column, spans: Column, mark: str) -> Column:
+    """`text` with each of the spans (structs with `start` and `end` in code points, by start) replaced by `mark`; spans that overlap or touch inside of one another as one.
+
+    Spans are merged by the largest end before each, and the text is cut at every `CHUNK` of them first, as finding a
+    place in a text takes as long as what lies before it.
+    """
+    part = lambda x, k: F.slice(x, k * CHUNK + 1, F.lit(CHUNK))
+    chunks = lambda x: F.sequence(F.lit(0), ((F.size(x) - 1) / CHUNK).cast("int"))
+
+    def merged(spans: Column, ends: Column, tops: Column) -> Column:
+        """Spans as `start` and `end` without overlaps; tops: the largest end of each chunk and those before it."""
+        in_chunk = lambda k: F.slice(ends, (k / CHUNK).cast("int") * CHUNK + 1, k % CHUNK)
+        before = lambda k: F.greatest(F.get(tops, (k / CHUNK).cast("int") - 1), F.array_max(in_chunk(k)), F.lit(0))
+        firsts = F.filter(F.transform(spans, lambda x, k: F.struct(x["start"].alias("start"), before(k).alias("before"))), lambda x: (x["start"] >= x["before"]))
+        last = F.element_at(tops, -1)
+        return let(firsts, lambda f: F.transform(f, lambda x, k: F.struct(x["start"].alias("start"), F.coalesce(F.get(f, k + 1)["before"], last).alias("end"))))
+
+    def rewritten(found: Column) -> Column:
+        def chunk(k: Column) -> Column:
+            base = F.when(k == 0, 0).otherwise(F.get(found, k * CHUNK)["start"])
+            till = F.coalesce(F.get(found, (k + 1) * CHUNK)["start"], F.length(text))
+            return let(F.struct(base.alias("base"), F.substring(text, base + 1, till - base).alias("text")), lambda cut: pieces(cut, part(found, k)))
+
+        return F.array_join(F.transform(chunks(found), chunk), "")
+
+    def pieces(cut: Column, own: Column) -> Column:
+        behind = lambda k: F.coalesce(F.when(k > 0, F.get(own, k - 1)["end"]), cut["base"])
+        gap = lambda x, k: F.substring(cut["text"], behind(k) - cut["base"] + 1, x["start"] - behind(k))
+        rest = F.substring(cut["text"], F.element_at(own, -1)["end"] - cut["base"] + 1, F.length(cut["text"]))
+        return let(own, lambda own_: F.concat(F.array_join(F.transform(own_, lambda x, k: F.concat(gap(x, k), F.lit(mark))), ""), rest))
+
+    def of(spans: Column) -> Column:
+        ends = F.transform(spans, lambda x: x["end"])
+        tops = lambda ends: F.transform(chunks(ends), lambda k: F.array_max(part(ends, k)))
+        running = lambda tops: F.transform(tops, lambda x, k: F.array_max(F.slice(tops, 1, k + 1)))
+        return let(ends, lambda ends_: let(tops(ends_), lambda t: let(running(t), lambda r: let(merged(spans, ends_, r), rewritten))))
+
+    return F.when(F.size(spans) > 0, let(spans, of)).otherwise(text)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shielded, written
-from .native import matches
+from .native import matches, replaced
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: What stands between the characters of a key: white space, escaped line ends, and marks of quotes, comments, diffs and strings.
@@ -24,14 +24,23 @@ PEM = (
     rf"(?:(?:[A-Za-z0-9/=;:&<()]++|{_GAP})*+-----END {_EDGE}"
     rf"""|(?:(?:{_GAP}*+[A-Za-z0-9+/]{{24,}}+={{0,2}}+)++(?:{_GAP}++[A-Za-z0-9+/]{{1,23}}+(?:={{1,2}}+|(?=[\r\n\\"']|\z)))?+)?+)"""
 )
+#: How vendors' keys begin and how long they are at least.
+VENDOR = "|".join((
+    r"gh[pousr]_[A-Za-z0-9]{36,}", r"github_pat_[A-Za-z0-9_]{22,}", r"glpat-[A-Za-z0-9_-]{20,}", r"xox[baprs]-[A-Za-z0-9-]{10,}", r"xapp-[A-Za-z0-9-]{20,}", r"AIza[A-Za-z0-9_-]{35}", r"ya29\.[A-Za-z0-9_-]{20,}",
+    r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", r"sk-(?:proj|ant|svcacct|admin|or)-[A-Za-z0-9_-]{16,}", r"sk-[A-Za-z0-9]{32,}", r"ASIA[A-Z0-9]{16,}", r"hf_[A-Za-z0-9]{30,}", r"npm_[A-Za-z0-9]{36,}", r"pypi-[A-Za-z0-9_-]{50,}",
+    r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", r"dop_v1_[0-9a-f]{40,}", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",
+))
+#: A bearer token holds a digit and a letter; what stands for one in instructions mostly does not.
+BEARER = r"[Bb]earer\x20+(?=[A-Za-z+/_.=~-]{0,400}[0-9])(?=[0-9+/_.=~-]{0,400}[A-Za-z])[A-Za-z0-9+/_.=~-]{16,}"
 #: Kinds of the base in their order, then the method's own, which are kept where owner-specific.
 PATTERNS = (
     ("assign", ASSIGN),
     ("access", r"AKIA[A-Z0-9]{16,}"),
     ("hex", r"[0-9a-f]{24,}"),
-    ("vendor", r"gh[pousr]_[A-Za-z0-9]{36,}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
+    ("vendor", VENDOR),
     ("pem", PEM),
     ("url", r"(?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]*+://[^/\s:@]*+:[^/\s:@]{3,}+@"),
+    ("bearer", BEARER),
 )
 BASE = 3
 MIN_ASSIGNED = 6
@@ -95,19 +104,11 @@ def digest(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "source", mark: str = "[secret]") -> DataFrame:
-    """`docs` with each span of its text replaced by `mark`; all rows and columns stay.
+    """`docs` with each span of its text replaced by `mark`; all rows and columns stay. Null texts stay null, an empty table empty.
 
     Spans that overlap are replaced as one. Copied examples of the method's own kinds are no spans and stay.
     """
     own, names, back = shielded(docs)
     found = scan(own, names[id_col], names[text_col], names[owner_col], names[repository_col], keep=tuple(n for c, n in names.items() if c != id_col))
     text = F.col(names[text_col])
-
-    def step(acc: Column, s: Column) -> Column:
-        cut = s["end"] > acc["at"]
-        more = F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(""))
-        return F.struct(F.when(cut, more).otherwise(acc["out"]).alias("out"), F.when(cut, s["end"]).otherwise(acc["at"]).alias("at"))
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    new = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return back(found.withColumn(names[text_col], F.when(F.size("spans") > 0, new).otherwise(text)))
+    return back(found.withColumn(names[text_col], replaced(text, F.col("spans"), mark)))
