@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ref_label
-from ..operators.scoring import KEY, other_key, same_reference
+from ..operators.scoring import KEY
+from ..operators.synthetic import synthetic_responses
 
 EDITIONS = (("ed_a", 0), ("ed_b", 1), ("ed_c", 2))
 STRATA = ("extremely_famous", "well_known", "random", "translation_sensitive", "short_verse", "long_verse")
@@ -51,33 +52,6 @@ def cases(refs: DataFrame) -> DataFrame:
     return own.select(case_id.alias("case_id"), "translation", *KEY, "ref_label", stratum.alias("stratum"), F.lit("canonical").alias("prompt_variant"), order.cast("long").alias("ord"), "pos", "text")
 
 
-def synthetic_responses(own: DataFrame) -> DataFrame:
-    """Responses of two made-up models in three runs each, in eleven categories by place, run and model."""
-    others = other_key(own.select(*KEY, F.col("pos").alias("o_pos"), F.col("text").alias("o_text")))
-    other = own.join(others, same_reference() & (F.col("text") != F.col("o_text")), "left").groupBy("case_id").agg(F.min(F.struct("o_pos", "o_text")).alias("o"))
-    rows = own.join(other, "case_id").withColumn("alt", F.coalesce("o.o_text", "text"))
-    rows = rows.withColumn("m", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("r", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    category = (F.col("ord") + F.col("r") + 3 * F.col("m")) % 11
-    tokens = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    half = lambda c: F.floor(F.size(tokens(c)) / 2).cast("int")
-    spliced = F.concat(F.array_join(F.slice(tokens("text"), F.lit(1), half("text")), " "), F.lit(" "), F.array_join(F.slice(tokens("alt"), half("alt") + 1, F.size(tokens("alt")) - half("alt")), " "))
-    copied = (F.col("prompt_variant") == "copy_control") & (category != 8)
-    output = (
-        F.when(copied | (category < 4), F.col("text"))
-        .when(category == 4, F.translate("text", ",.;:!?", ""))
-        .when(category == 5, F.col("alt"))
-        .when(category == 6, spliced)
-        .when(category == 7, "I cannot provide that passage.")
-        .when(category == 8, F.concat(F.lit("Here is the passage: "), "text"))
-        .otherwise("")
-    )
-    name = F.when(F.col("m") == 0, "a").otherwise("b")
-    return rows.select(
-        "case_id", F.concat(name, F.lit("-"), "r").alias("run_id"), F.lit("synthetic").alias("provider"), F.concat(F.lit("synthetic-"), name).alias("model"),
-        F.concat(F.lit("synthetic-"), name).alias("resolved_model"), output.alias("output"), F.when((category == 10) & ~copied, "synthetic provider failure").alias("error"), category.cast("int").alias("category"), "ord",
-    )
-
-
 def injected(responses: DataFrame) -> DataFrame:
     """Some responses in another form of the same text (decomposed letters, CRLF, curly apostrophes), some cut off or typed as refusals."""
     n = F.col("ord")

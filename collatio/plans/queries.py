@@ -11,7 +11,7 @@ from ..functions import providers
 from ..functions.align import display_alignment, word_diff
 from ..functions.digests import json_text, ordered_digest
 from ..functions.text import contains_contiguous, ref_label, words
-from ..operators import audit, bags, guard, ledger, pilot, prompts, report, runs, sampling, selection, sessions, statistics, study, switching, trials, validation
+from ..operators import audit, bags, guard, ledger, pilot, prompts, report, runs, sampling, selection, sessions, statistics, study, switching, synthetic, trials, validation
 from ..operators.scoring import KEY, score
 from ..sources import usfm
 from .fixture import SQL, configs, dataset, set_up
@@ -870,3 +870,17 @@ def first_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases, refs, editions = _faulty(spark, sf_dir)
     placed = refs.withColumn("ord", 9000 - F.col("item_id") * 3 - F.col("pos"))
     return validation.first_violation(validation.dataset_violations(cases, placed, editions)).select("rule", "subject", "ord")
+
+
+@query(""", sv AS (SELECT unnest(['canonical', 'concise', 'word_for_word', 'copy_control']) AS track),
+so AS (SELECT track, s.model, c.case_id, c.ref_label, c.stratum, track = 'copy_control' AND s.category <> 8 AS copied, s.error, s.output, c.text FROM syn s JOIN cases c USING (case_id) CROSS JOIN sv),
+sx AS (SELECT *, (copied OR error IS NULL) AND nfc_normalize(replace(replace(CASE WHEN copied THEN text ELSE output END, chr(13) || chr(10), chr(10)), chr(13), chr(10))) = nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS exact FROM so),
+sc AS (SELECT track, model, ref_label, avg(exact::INT) AS value, count(DISTINCT case_id) AS n FROM sx GROUP BY ALL)
+SELECT track, model, sum(n)::BIGINT AS cases, round(avg(value), 6) AS estimate, count(*) AS clusters FROM sc GROUP BY 1, 2""")
+def synthetic_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up responses to every reference in all prompt variants, by track and model."""
+    d = dataset(spark, sf_dir)
+    four = d.cases.withColumn("track", F.explode(F.array(*map(F.lit, synthetic.VARIANTS)))).withColumns({"prompt_variant": F.col("track"), "case_id": F.concat_ws("-", "case_id", "track")})
+    refs = d.references.crossJoin(spark.createDataFrame([(t,) for t in synthetic.VARIANTS], "track string"))  # four names
+    found = synthetic.by_track(four.drop("text"), refs, synthetic.responses(four.drop("text"), refs), RESAMPLES)
+    return rounded(found.select("track", "model", "cases", "estimate", "clusters"))
