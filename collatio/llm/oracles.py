@@ -70,4 +70,39 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 """
 
 
-ORACLES: dict[str, str] = {"op2_suffix_dedup": SUFFIX, "op6_quality_rules": QUALITY, "op7_benchmark_decontamination": CONTAMINATION, "op9_license_scans": _licenses()}
+def _repair() -> str:
+    """The damage by checksums bit by bit; then the cheapest edits as a fold over turns: cost and letters of the best way into each state."""
+    ws = r"[\x20\x09-\x0D]"
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)), lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 20"
+    way = lambda state, letter, cost: f"{{'c': s.{state}.c + {cost}, 'a': s.{state}.a || '{letter}'}}"
+    when = lambda test, value: f"CASE WHEN {test} THEN {value} END"
+    extra = "(CASE WHEN x.f = 1 THEN 3 ELSE 0 END)"
+    best = lambda *ways: f"list_min([{', '.join(ways)}])"
+    stays = "x.f < 2"
+    kept = lambda role, *states: [when(f"{stays} AND x.r = '{role}'", way(k, "K", extra)) for k in states]
+    named = lambda *states: [when(stays, way(k, "R", f"(3 + {extra})")) for k in states]
+    n = {"p": best(way("p", "D", 4)), "q": best(way("q", "D", 4), *kept("s", "p")), "u": best(way("u", "D", 4), *kept("u", "p", "q", "a"), *named("p", "q", "a")), "a": best(way("a", "D", 4), *kept("a", "u"), *named("u"))}
+    more = lambda of: f"{{'c': ({of}).c + 3, 'a': ({of}).a || 'I'}}"
+    closed = lambda p, q, u, a: {"p": p, "q": q, "u": (to := best(u, more(p), more(q), more(a))), "a": best(a, more(to))}
+    struct = lambda states, rest: "{" + ", ".join([*(f"'{k}': {v}" for k, v in states.items()), rest]) + "}"
+    far, zero = "{'c': 1000000000::BIGINT, 'a': ''}", "{'c': 0::BIGINT, 'a': ''}"
+    first = struct({"p": zero, "q": far, "u": "{'c': 3::BIGINT, 'a': 'I'}", "a": "{'c': 6::BIGINT, 'a': 'II'}"}, "'r': '', 'f': 0, 'role': '', 'text': ''")
+    blank = struct(dict.fromkeys("pqua", far), "'r': role[1:1], 'f': f, 'role': role, 'text': text")
+    given = "CASE WHEN z.k = 'u' THEN 'assistant' ELSE 'user' END"
+    return f"""
+WITH dk AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} AS k FROM conversations),
+dm AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM dk WHERE k <> 0),
+ft AS (SELECT *, regexp_replace(text, '{ws}+$', '') AS body, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM dm),
+fl AS (SELECT *, CASE WHEN body = '' THEN 2 WHEN nth > 1 THEN 3 WHEN body[-1:] NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS f FROM ft),
+cv AS (SELECT conv_id, list({blank} ORDER BY turn NULLS FIRST, role, md5(text), copy) AS ev, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE f = 2) AS blank, count(*) FILTER (WHERE f = 3) AS dup, count(*) FILTER (WHERE f = 1) AS cut FROM fl GROUP BY 1),
+dp AS (SELECT *, list_reduce(list_prepend({first}, ev), lambda s, x: {struct(closed(*n.values()), "'r': x.r, 'f': x.f, 'role': x.role, 'text': x.text")}) AS s FROM cv),
+an AS (SELECT *, list_min([s.p, s.a]) AS best, len(list_filter(range(1, len(ev)), lambda k: ev[k].r || ev[k + 1].r NOT IN ('su', 'ua', 'au'))) AS illegal FROM dp),
+rp AS (SELECT *, list_reduce(list_prepend({{'e': '', 'i': 0::BIGINT, 'k': 'p', 'o': []::VARCHAR[]}}, list_transform(list_filter(string_split(best.a, ''), lambda e: e <> ''), lambda e: {{'e': e, 'i': 0::BIGINT, 'k': '', 'o': []::VARCHAR[]}})), lambda z, x: {{'e': x.e, 'i': z.i + (x.e <> 'I')::BIGINT,
+  'k': CASE WHEN x.e = 'D' THEN z.k WHEN x.e = 'K' THEN CASE ev[z.i + 1].r WHEN 's' THEN 'q' ELSE ev[z.i + 1].r END WHEN z.k = 'u' THEN 'a' ELSE 'u' END,
+  'o': CASE x.e WHEN 'D' THEN z.o WHEN 'I' THEN list_append(z.o, {given} || ':') WHEN 'K' THEN list_append(z.o, ev[z.i + 1].role || ':' || ev[z.i + 1].text) ELSE list_append(z.o, {given} || ':' || ev[z.i + 1].text) END}}).o AS o FROM an)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(dup, 0)::BIGINT AS duplicate, coalesce(cut, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN rp ON rp.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+ORACLES: dict[str, str] = {"op2_suffix_dedup": SUFFIX, "op6_quality_rules": QUALITY, "op7_benchmark_decontamination": CONTAMINATION, "op9_license_scans": _licenses(), "op12_conversation_repair": _repair()}
