@@ -243,7 +243,13 @@ def run_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("provider", "model", "run_id", "temperature", "max_output_tokens", "endpoint_sha256", *runs.DIGESTS, "responses_sha256", F.size("expected_case_ids").cast("long").alias("expected_cases"), "track", "evidence")
 
 
-@query("""SELECT run_id, rule FROM (VALUES ('a-0', 'coverage'), ('a-0', 'digest'), ('a-1', 'digest'), ('a-1', 'settings'), ('a-2', 'version'), ('b-0', 'evidence'), ('b-1', 'configuration'), ('b-2', 'digest'), ('b-2', 'error_with_output')) t(run_id, rule)""", fixture=False)
+@query(f""", mf AS (SELECT DISTINCT run_id, CASE run_id WHEN 'a-2' THEN '0' ELSE '{runs.ENGINE_VERSION}' END AS engine, CASE run_id WHEN 'b-0' THEN 'rumour' ELSE 'synthetic_fixture' END AS evidence, CASE run_id WHEN 'b-1' THEN 0 ELSE 1024 END AS most FROM responses),
+od AS (SELECT run_id, case_id, ord, error, CASE WHEN run_id = 'b-2' AND error IS NOT NULL THEN 'words' ELSE output END AS output, CASE WHEN run_id = 'a-1' AND ord = 1 THEN 1.0 ELSE 0.0 END AS temperature FROM responses WHERE run_id <> 'a-0' OR ord <> 0),
+dg AS (SELECT run_id, md5(string_agg(concat_ws(chr(1), case_id, output, error, 0.0), chr(2) ORDER BY ord)) AS d FROM responses GROUP BY 1),
+og AS (SELECT run_id, md5(string_agg(concat_ws(chr(1), case_id, output, error, temperature), chr(2) ORDER BY ord)) AS d, count(*) AS n, count(DISTINCT case_id) AS k, bool_or(temperature <> 0.0) AS other, bool_or(error IS NOT NULL AND output <> '') AS spoke FROM od GROUP BY 1),
+mw AS (SELECT *, (SELECT count(*) FROM cases) AS wanted, dg.d <> og.d AS changed FROM mf JOIN dg USING (run_id) JOIN og USING (run_id))
+SELECT run_id, unnest(list_filter([CASE WHEN engine <> '{runs.ENGINE_VERSION}' THEN 'version' END, CASE WHEN evidence NOT IN {runs.EVIDENCE} THEN 'evidence' END, CASE WHEN changed THEN 'digest' END, CASE WHEN n <> wanted OR k <> wanted THEN 'coverage' END,
+ CASE WHEN most = 0 THEN 'configuration' END, CASE WHEN other THEN 'settings' END, CASE WHEN spoke THEN 'error_with_output' END], lambda x: x IS NOT NULL)) AS rule FROM mw""")
 def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs with a fault each: a case short, other settings, an old version, unknown evidence, no output tokens, an error with output."""
     d, responses, found = _runs(spark, sf_dir)
@@ -647,8 +653,8 @@ def execution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.execution_summary(rows, "run").withColumns({c: F.col(c).cast("long") for c in ("input_tokens", "output_tokens", "accounted_nanoeur")})
 
 
-@query("""SELECT 'r' || user_id AS subject, unnest(list_filter([CASE WHEN user_id % 5 = 1 THEN 'run_id' END, CASE WHEN user_id % 5 = 2 THEN 'model' END, CASE WHEN user_id % 3 = 0 THEN 'case_limit' END], lambda x: x IS NOT NULL)) AS rule
-FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 5 <> 1 UNION ALL SELECT 'r ' || user_id, unnest(list_filter(['run_id', CASE WHEN user_id % 3 = 0 THEN 'case_limit' END], lambda x: x IS NOT NULL)) FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 5 = 1""", fixture=False)
+@query("""WITH c AS (SELECT DISTINCT CASE WHEN user_id % 5 = 1 THEN 'r ' ELSE 'r' END || user_id AS run_id, CASE WHEN user_id % 5 = 2 THEN '  ' ELSE 'm' END AS model, CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 END AS case_limit FROM events)
+SELECT run_id AS subject, unnest(list_filter([CASE WHEN NOT regexp_full_match(run_id, '[A-Za-z0-9_-]{1,64}') THEN 'run_id' END, CASE WHEN trim(model) = '' OR octet_length(encode(model)) > 256 THEN 'model' END, CASE WHEN case_limit = 0 THEN 'case_limit' END], lambda x: x IS NOT NULL)) AS rule FROM c""", fixture=False)
 def trial_config_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configurations with a fault in some: a blank within the run's name, a blank model, no cases."""
     u = F.col("user_id")
@@ -657,8 +663,17 @@ def trial_config_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.config_violations(configs)
 
 
-@query("""SELECT 's' || u AS session, unnest(list_filter([CASE WHEN u % 6 = 1 THEN 'progress' END, CASE WHEN u % 6 IN (2, 3) THEN 'response' END, CASE WHEN u % 6 = 4 THEN 'attempts' END, CASE WHEN u % 6 = 5 THEN 'attempt_accepted' END], lambda x: x IS NOT NULL)) AS rule
-FROM (SELECT DISTINCT user_id AS u FROM events)""", fixture=False)
+@query(f"""WITH u AS (SELECT DISTINCT user_id AS u FROM events), se AS (SELECT u, 's' || u AS session, 'm' AS model, u % 6 = 5 AS restricted, false AS pending, u % 6 = 1 AS finished FROM u),
+pl AS (SELECT session, unnest([0, 1, 2]) AS place, unnest(['a', 'b', 'c']) AS case_id FROM se), two AS (SELECT *, unnest([0, 1]) AS place FROM se),
+re AS (SELECT session, place, CASE WHEN u % 6 = 2 THEN 'z' ELSE ['a', 'b'][place + 1] END AS case_id, session AS run_id, CASE WHEN u % 6 = 3 THEN 'other' ELSE 'm' END AS model, CASE WHEN restricted THEN '{trials.RESTRICTED}' ELSE '{trials.INTERACTIVE}' END AS provider, CASE WHEN restricted THEN 'm' END AS resolved, restricted AS metered FROM two),
+tr AS (SELECT session, place, ['a', 'b'][place + 1] AS case_id, CASE place WHEN 0 THEN 'accepted' ELSE 'started' END AS state, 'd' AS request, 'd' AS response FROM two WHERE u % 6 = 4 OR restricted),
+n AS (SELECT *, (SELECT count(*) FROM pl WHERE pl.session = se.session) AS cases, (SELECT count(*) FROM re WHERE re.session = se.session) AS answers, (SELECT count(*) FROM tr WHERE tr.session = se.session) AS tries FROM se)
+SELECT session, 'progress' AS rule FROM n WHERE answers > cases OR (pending AND (finished OR answers = cases)) OR (finished AND answers <> cases)
+UNION SELECT session, 'attempts' FROM n WHERE CASE WHEN restricted THEN tries < answers OR tries > answers + 1 ELSE tries > 0 END
+UNION SELECT session, 'response' FROM re JOIN n USING (session) LEFT JOIN pl USING (session, place) WHERE re.case_id IS DISTINCT FROM pl.case_id OR run_id <> session OR re.model <> n.model OR provider <> CASE WHEN restricted THEN '{trials.RESTRICTED}' ELSE '{trials.INTERACTIVE}' END OR resolved IS DISTINCT FROM CASE WHEN restricted THEN n.model END OR metered <> restricted
+UNION SELECT session, 'attempt_case' FROM tr JOIN n USING (session) LEFT JOIN pl USING (session, place) WHERE restricted AND tr.case_id IS DISTINCT FROM pl.case_id
+UNION SELECT session, 'attempt_accepted' FROM tr JOIN n USING (session) WHERE restricted AND place < answers AND NOT (state = 'accepted' AND request IS NOT NULL AND response IS NOT NULL)
+UNION SELECT session, 'attempt_pending' FROM tr JOIN n USING (session) WHERE restricted AND place >= answers AND NOT (state IN ('started', 'blocked') AND pending AND NOT finished AND request IS NULL AND response IS NULL)""", fixture=False)
 def saved_session_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved trials of three cases and two answers, five of six with a fault: finished too early, answers of another case or of
     another model, attempts in an open trial, an answer without an accepted attempt."""
