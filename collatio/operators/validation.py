@@ -29,6 +29,14 @@ def _found(rows: DataFrame, rule: str, when: Column, subject: Column, reason: st
     return rows.filter(when).select(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"), F.lit(reason).alias("reason"), _place(rows))
 
 
+def _listed(rows: DataFrame, subject: Column, rules: dict[str, tuple[Column, str | Column]]) -> DataFrame:
+    """A row for each rule that a record breaks, all rules in one pass."""
+    reason = lambda r: F.lit(r) if isinstance(r, str) else r
+    broken = F.array(*(F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(rule).alias("rule"), reason(told).alias("reason"))) for rule, (when, told) in rules.items()))
+    found = rows.select(subject.cast("string").alias("subject"), _place(rows), F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("v"))
+    return found.select("v.rule", "subject", "v.reason", "ord")
+
+
 def _place(rows: DataFrame) -> Column:
     """A record's place in its file, where it has one."""
     return (F.col("ord").cast("long") if "ord" in rows.columns else F.lit(None).cast("long")).alias("ord")
@@ -80,12 +88,19 @@ def catalog_violations(editions: DataFrame, schema_version: int | None = None) -
     return _all(
         *version,
         _none(editions, "catalog_none", "the catalog needs an edition"),
-        _found(editions, "catalog_empty_id", blank("id"), own, "edition id must not be empty"),
         _twice(editions, "catalog_duplicate_id", [own], own, "duplicate edition id"),
-        _found(editions, "catalog_unpinned", blank("edition"), own, "edition is not pinned"),
-        _found(editions, "catalog_urls", blank("license_url") | blank("source_url"), own, "license_url and source_url are needed"),
-        _found(editions, "catalog_license", (F.col("license_kind") == "licensed_private") & F.col("redistribute_reference_text"), own, "private licence cannot redistribute"),
-    )
+        _listed(editions, own, {
+            "catalog_empty_id": (blank("id"), "edition id must not be empty"),
+            "catalog_unpinned": (blank("edition"), "edition is not pinned"),
+            "catalog_urls": (blank("license_url") | blank("source_url"), "license_url and source_url are needed"),
+            "catalog_license": ((F.col("license_kind") == "licensed_private") & F.col("redistribute_reference_text"), "private licence cannot redistribute"),
+        }),
+    )
+
+
+def _known(rows: DataFrame, editions: DataFrame) -> DataFrame:
+    """`rows` with `__known` where their edition is in the catalog."""
+    return rows.join(editions.select(F.col("id").alias("translation")).distinct().withColumn("__known", F.lit(True)), "translation", "left")
 
 
 def reference_violations(references: DataFrame, editions: DataFrame) -> DataFrame:
@@ -93,33 +108,35 @@ def reference_violations(references: DataFrame, editions: DataFrame) -> DataFram
     residue = F.col("text").contains("\\")
     for attribute in MARKUP:
         residue = residue | F.col("text").contains(attribute)
-    known = editions.select(F.col("id").alias("translation"))
-    fault = references.withColumn("__fault", reference_fault()).filter("__fault is not null")
+    fault = reference_fault()
     return _all(
         _none(references, "reference_none", "the corpus needs a record"),
-        fault.select(F.lit("reference_invalid").alias("rule"), own.alias("subject"), F.col("__fault").alias("reason"), _place(fault)),
-        _found(references.join(known, "translation", "left_anti"), "reference_unknown_edition", F.lit(True), own, "unknown edition"),
-        _found(references, "reference_empty", F.col("text") == "", own, "empty text"),
-        _found(references, "reference_edges", trim_unicode(F.col("text")) != F.col("text"), own, "white space at an edge"),
-        _found(references, "reference_markup", residue, own, "residual markup"),
+        _listed(_known(references, editions), own, {
+            "reference_invalid": (fault.isNotNull(), fault),
+            "reference_unknown_edition": (F.col("__known").isNull(), "unknown edition"),
+            "reference_empty": (F.col("text") == "", "empty text"),
+            "reference_edges": (trim_unicode(F.col("text")) != F.col("text"), "white space at an edge"),
+            "reference_markup": (residue, "residual markup"),
+        }),
         _twice(references, "reference_duplicate", [F.col(c) for c in ("translation", *KEY)], own, "duplicate text"),
-    )
+    )
 
 
 def case_violations(cases: DataFrame, references: DataFrame, editions: DataFrame) -> DataFrame:
-    own, known = F.col("case_id"), editions.select(F.col("id").alias("translation"))
+    own, fault = F.col("case_id"), reference_fault()
     texts = references.select(F.col("translation").alias("__edition"), *KEY)
     missing = cases.join(other_key(texts), same_reference() & (F.col("translation") == F.col("__edition")), "left_anti")
-    fault = cases.withColumn("__fault", reference_fault()).filter("__fault is not null")
     return _all(
         _none(cases, "case_none", "the dataset needs a case"),
-        _found(cases, "case_empty_id", blank("case_id"), own, "case id must not be empty"),
+        _listed(_known(cases, editions), own, {
+            "case_empty_id": (blank("case_id"), "case id must not be empty"),
+            "case_invalid": (fault.isNotNull(), fault),
+            "case_unknown_edition": (F.col("__known").isNull(), "unknown edition"),
+        }),
         _twice(cases, "case_duplicate_id", [own], own, "duplicate case id"),
-        fault.select(F.lit("case_invalid").alias("rule"), own.alias("subject"), F.col("__fault").alias("reason"), _place(fault)),
-        _found(cases.join(known, "translation", "left_anti"), "case_unknown_edition", F.lit(True), own, "unknown edition"),
         _found(missing, "case_without_text", F.lit(True), own, "no reference text"),
         _twice(cases, "case_twice", [F.col(c) for c in ("translation", *KEY)], own, "more than one case"),
-    )
+    )
 
 
 def dataset_violations(cases: DataFrame, references: DataFrame, editions: DataFrame, schema_version: int | None = None) -> DataFrame:
