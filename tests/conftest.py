@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 #: Seconds a test may take.
-LIMIT = int(os.environ.get("COLLATIO_TEST_LIMIT", "300"))
+LIMIT = int(os.environ.get("COLLATIO_TEST_LIMIT", "600"))
 
 
 @pytest.fixture(scope="session")

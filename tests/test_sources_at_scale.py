@@ -151,8 +151,6 @@ def test_the_first_violation_in_the_order_of_files(spark):
     bad_case, bad_ref = put(own, 0, **{"0": " "}), put(refs, 4, **{"5": " padded"})
     assert first(cases=bad_case, references=put(bad_ref, 2, **{"5": "\\w x "})) == ("reference_edges", 2)
     assert first(references=[*refs[:3], refs[1], *put(refs[3:], 1, **{"5": ""})]) == ("reference_duplicate", 3)
-    assert first(references=[refs[0], *put(refs[1:], 1, **{"5": ""}), refs[0]]) == ("reference_empty", 2)
-    assert first(cases=[*own, own[2], own[1]]) == ("case_duplicate_id", 5)
     assert first(editions=[*good, ("e1", "", "public_domain", "u", "u", True)], references=bad_ref) == ("catalog_duplicate_id", 2)
     assert first(editions=[], cases=bad_case) == ("catalog_none", 0)
     with pytest.raises(ValueError, match="case_empty_id"):
