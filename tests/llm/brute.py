@@ -93,6 +93,26 @@ def licenses(text: str | None) -> tuple:
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def license_windows(text: str, notices, room, near: int, threshold: float) -> set:
+    """Labels of the notices of which a window of a block holds enough, and that it names; every place of every block is tried."""
+    labels = set()
+    for block in re.split(r"\n[\x20\x09\x0B-\x0D]*\n", text):
+        words = re.findall(ALNUM, lower(block))
+        for label, notice, names, other in notices:
+            own = set(notice.split())
+            for i in range(len(words)):
+                window = words[i : i + room(notice)]
+                if words[i] not in own or len(own & set(window)) < threshold * len(own) - 1e-9:
+                    continue
+                ends = None
+                for name in names.split():
+                    ends = [k for k, w in enumerate(window) if w == name and (ends is None or any(0 < k - e <= 2 for e in ends))]
+                against = [k for k, w in enumerate(window) if w in other.split()]
+                if any(all(abs(k - e) > near for k in against) for e in ends):
+                    labels.add(label)
+    return labels
+
+
 def simhash(text: str | None) -> int:
     words = re.findall(SP, lower(text or ""))
     hashes = [xxh64_intdigest(" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))] if words else []

@@ -338,6 +338,26 @@ def test_license_words_stand_together_and_name_it(spark):
     assert all(licenses.TEMPLATES[r.doc_id][0] in r.labels.split(",") and r.score == 1 for r in licenses.scan(templates).collect())
 
 
+def test_license_windows_at_the_ends_of_parts(spark):
+    """Parts of a text give the labels that its windows give, none less and none more, wherever a notice stands."""
+    wide, r = licenses.WIDEST, random.Random(9)
+    # the first word makes a part of two cells, which ends between the notice and the word that speaks against it
+    texts = ["mozilla " + "so " * (2 * wide - 7) + "licensed under cc by 4 0 nc"]
+    texts += [f"{'so ' * k}{licenses.ANCHORS[k % len(licenses.ANCHORS)]} {'so ' * (2 * wide - k % 11)}licensed under cc by {('nc', 'sa', '')[k % 3]} 4 0 sa {'so ' * 9}" for k in range(0, 2 * wide, 3)]
+    for k in range(150):
+        words = []
+        for _ in range(3):
+            words += r.choices(["so", "by", *(licenses.VOCABULARY if k % 2 else ())], k=r.randint(0, 2 * wide))
+            words += [w for w in r.choice(licenses.NOTICES)[1].split() if r.random() > 0.08]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for threshold in (0.8, 0.6):
+        found = {x.doc_id: (set(filter(None, x.labels.split(","))), set(filter(None, x.base_labels.split(",")))) for x in licenses.scan(docs, threshold).collect()}
+        expected = {k: brute.license_windows(t, licenses.NOTICES, licenses.room, licenses.NEAR, threshold) for k, t in enumerate(texts)}
+        assert {k: labels for k, (labels, _) in found.items()} == {k: expected[k] | base for k, (_, base) in found.items()}
+        assert expected[0] == set() and set().union(*expected.values()) == {label for label, *_ in licenses.NOTICES}
+
+
 def test_simhash(docs, rows, none):
     prints = [brute.simhash(t) for _, t, _ in rows]
     ids = [i for i, _, _ in rows]
